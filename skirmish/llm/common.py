@@ -49,11 +49,11 @@ def _sweep() -> None:
             remove(spark, path)
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
+def stash(df: DataFrame, label: str, **options) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: the lineage ends here, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._skirmish_path = path
     return out
@@ -74,6 +74,7 @@ def small_batches(spark: SparkSession, rows: int = 500, size: str = "8MB") -> No
     """Arrow batches of documents stay small, so that very long texts do not fill a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
 
 
 def texts(column: pa.Array) -> list[bytes]:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import audio, chunks, langid, lines, mixing, packing, quality, simhash
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
+    "op2_lines": lines.op2_lines,
+    "op3_quality": quality.op3_quality,
+    "op6_audio": audio.op6_audio,
+    "op7_mixing": mixing.op7_mixing,
+    "op8_chunks": chunks.op8_chunks,
     "op9_simhash": simhash.op9_simhash,
+    "op10_langid": langid.op10_langid,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_mixing": mixing.OP7_SQL}
