@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import audio, chunks, langid, lines, mixing, packing, quality, simhash, warc
+from . import audio, chunks, langid, lines, mixing, packing, quality, simhash, suffixes, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_lines": lines.op2_lines,
     "op3_quality": quality.op3_quality,
+    "op4_suffixes": suffixes.op4_suffixes,
     "op5_warc": warc.op5_warc,
     "op6_audio": audio.op6_audio,
     "op7_mixing": mixing.op7_mixing,
