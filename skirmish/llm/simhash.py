@@ -20,7 +20,7 @@ SHINGLE = 4
 SEED = 42
 RADIUS = 4
 #: The variants meet in so many jobs, one slice of the variants' space each, so that a fraction of them is on disk at a time.
-PASSES = 8
+PASSES = 16
 #: Variants in a bucket, about: what one task holds.
 BUCKET = 1_500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # a bijection of 64 bits: slices and buckets are of even size
