@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import backbone  # noqa: F401
+from .base import ORACLES, QUERIES  # noqa: F401
 
 
 def flagship(spark, sf_dir: str):
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    """Series resolved to canonical teams, with status, flags and label."""
+    return QUERIES["j03_canonical_series"](spark, sf_dir)
