@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import backbone, forecast, history  # noqa: F401
+from . import backbone, forecast, history, sources  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
 
 

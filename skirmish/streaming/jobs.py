@@ -14,6 +14,8 @@ def event_stream(spark: SparkSession, sf_dir: str, name: str = "events") -> Data
     """The table as a stream; event times are UTC timestamps, for watermarks reject timestamps without a zone."""
     path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema
+    if spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)).isFile():
+        path = path[:-1] + "[" + path[-1] + "]"  # a stream reads folders, or a pattern that matches one file
     return spark.readStream.schema(schema).load(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
