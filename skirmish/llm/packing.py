@@ -8,6 +8,7 @@ root emits all that is left. Only residues move, so the shuffle is a small fract
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ FANOUT = 8
 #: Pieces that a group sends up, at most; beyond that its fullest underfull sequences are emitted as they are (each but one
 #: is more than half full, so no two of them would fit into one).
 CARRY = 20_000
-CACHE = 300_000
+CACHE = 1_000_000
 _NULL = np.iinfo(np.int64).min
 SCHEMA = "grp int, sequence_id long, offset long, doc_id long, piece int, start long, length long, ids_crc32 long, loose binary"
 
@@ -37,8 +38,27 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_marks() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
 class Encoder:
-    """Token ids as little-endian unsigned 32-bit bytes, by the tokenizer file; the parts that its pre-tokenizer cuts are cached."""
+    """Token ids as little-endian unsigned 32-bit bytes, by a byte-level BPE file of ``tokenizers``.
+
+    Text is cut by the file's pattern, and the model's ids of each part are cached, for most parts of a text occur again.
+    A worker process keeps its encoder from task to task.
+    """
+
+    _kept: dict[str, Encoder] = {}
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        if path not in cls._kept:
+            cls._kept[path] = cls(path)
+        return cls._kept[path]
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -46,22 +66,28 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.marks = str.maketrans({chr(b): c for b, c in _byte_marks().items()})
         self.cut = regex.compile(public_tokenizers.PATTERN).findall
         self.cache: dict[str, bytes] = {}
 
+    def _part(self, part: str) -> bytes:
+        marked = part.encode().decode("latin-1").translate(self.marks)
+        return array("I", [t.id for t in self.model.tokenize(marked)]).tobytes()
+
     def encode(self, text: str) -> bytes:
         parts, cache = self.cut(text), self.cache
-        try:
-            return b"".join([cache[p] for p in parts])
-        except KeyError:
-            pass
-        if len(cache) > CACHE:
-            cache.clear()
-        new = list({p for p in parts if p not in cache})
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            cache[p] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([cache[p] for p in parts])
+        found = [cache.get(p) for p in parts]
+        if None in found:
+            if len(cache) > CACHE:
+                cache.clear()
+            for i, raw in enumerate(found):
+                if raw is None:
+                    p = parts[i]
+                    if (raw := cache.get(p)) is None:
+                        raw = cache[p] = self._part(p)
+                    found[i] = raw
+        return b"".join(found)
 
 
 def cut_points(n: int, most: int = MAX_TOKENS) -> list[tuple[int, int]]:
@@ -149,7 +175,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     path = tokenizer or default_tokenizer()
 
     def local(batches):
-        encoder, rows, grp = Encoder(path), [], TaskContext.get().partitionId()
+        encoder, rows, grp = Encoder.of(path), [], TaskContext.get().partitionId()
         last = np.array([end], "<u4").tobytes()
         for b in batches:
             seen: dict[str, list] = {}
@@ -189,7 +215,7 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     path, end = tokenizer or default_tokenizer(), options.get("end", END)
 
     def ids(batches):
-        encoder = Encoder(path)
+        encoder = Encoder.of(path)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[*np.frombuffer(encoder.encode(t or ""), "<u4").tolist(), end] for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
