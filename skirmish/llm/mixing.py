@@ -53,7 +53,8 @@ def rates(sizes: DataFrame, goals: DataFrame, tolerance: float = 1e-10, max_step
     live = goals.where("total > 0 and target > 0").select("key", "target", F.lit(0.0).alias("lam"))
     state = common.stash(live, "dual")
     for _ in range(max_steps):
-        tokens = sizes.join(state.select("key", "lam"), "key").groupBy("key").agg(F.sum(F.col("n") * F.col("size") * F.exp("lam")).alias("tokens"))
+        tilt = sizes.join(state.select("key", "lam"), "key").groupBy("key", "lam").agg(F.sum(F.col("n") * F.col("size")).alias("exact"))
+        tokens = tilt.select("key", (F.col("exact") * F.exp("lam")).alias("tokens"))  # whole sums: the order of rows does not matter
         step = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), (F.col("target") - F.col("tokens")) / F.col("tokens")))
         nxt = common.stash(state.join(tokens, "key").select("key", "target", (F.col("lam") + step).alias("lam"), (F.abs(F.col("tokens") - F.col("target")) / F.col("target")).alias("gap")), "dual")
         worst = nxt.agg(F.max("gap")).first()[0]
