@@ -41,9 +41,9 @@ def profile(df: DataFrame) -> DataFrame:
 def read_text_table(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF-8", "GB18030")) -> DataFrame:
     """A CSV of texts in the first encoding that decodes it; all columns are strings and empty strings are not null."""
     for e in encodings:
-        df = spark.read.option("header", True).option("multiLine", True).option("encoding", e).option("nullValue", "\u0000").option("emptyValue", "").csv(path)
+        df = spark.read.option("header", True).option("multiLine", True).option("encoding", e).csv(path)
         names = [c.lstrip("﻿") for c in df.columns]
-        df = df.toDF(*names)
+        df = df.toDF(*names).na.fill("")
         bad = reduce(lambda a, b: a | b, [F.contains(F.coalesce(F.col(f"`{c}`"), F.lit("")), F.lit("�")) for c in names])
         if not df.where(bad).take(1) and not any("�" in c for c in names):
             return df
