@@ -40,6 +40,7 @@ def profile(df: DataFrame) -> DataFrame:
 
 def read_text_table(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF-8", "GB18030")) -> DataFrame:
     """A CSV of texts in the first encoding that decodes it; all columns are strings and empty strings are not null."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # else Spark knows a few encodings only
     for e in encodings:
         df = spark.read.option("header", True).option("multiLine", True).option("encoding", e).csv(path)
         names = [c.lstrip("﻿") for c in df.columns]
