@@ -18,7 +18,7 @@ ROWS = f"rows AS (SELECT series_id, t, season, CAST(nation_a AS BIGINT) AS a, CA
 ELO = """
 WITH RECURSIVE {rows},
 k AS (SELECT *, dense_rank() OVER (ORDER BY t) AS g FROM rows),
-gs AS (SELECT g, any_value(t) AS t, any_value(season) AS season, list(struct_pack(i := series_id, a := a, b := b, y := y) ORDER BY series_id) AS rs FROM k GROUP BY g),
+gs AS MATERIALIZED (SELECT g, any_value(t) AS t, any_value(season) AS season, list(struct_pack(i := series_id, a := a, b := b, y := y) ORDER BY series_id) AS rs FROM k GROUP BY g),
 f AS (
   SELECT 0::BIGINT AS g, MAP {{}}::MAP(BIGINT, DOUBLE) AS m, ''::VARCHAR AS season, []::STRUCT(i BIGINT, p DOUBLE, ra DOUBLE, rb DOUBLE)[] AS o
   UNION ALL
