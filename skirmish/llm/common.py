@@ -77,6 +77,11 @@ def small_batches(spark: SparkSession, rows: int = 500, size: str = "8MB") -> No
     spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
 
 
+def lean() -> None:
+    """In a worker: Arrow's memory comes from the system's allocator, which gives large blocks back when they are free."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """The column's UTF-8 bytes; null is empty."""
     return [v or b"" for v in column.cast(pa.binary()).to_pylist()]

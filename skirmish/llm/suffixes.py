@@ -27,8 +27,8 @@ from . import common
 LENGTH = 200
 GRAM = 40
 _SPAN = LENGTH - GRAM  # bytes left of an anchor that a window with it may hold
-#: Anchors or suffixes that meet in one task, about.
-BUCKET = 400_000
+#: Anchors, and suffixes, that meet in one group, about.
+BUCKET, SUFFIXES = 100_000, 25_000
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _MIX = np.array([xxhash.xxh64_intdigest(bytes([b]), 11) for b in range(256)], np.uint64)  # by rule: a number per byte value
@@ -176,7 +176,8 @@ def repeated(members: list[tuple[int, bytes, bytes, int, int]]) -> list[tuple[in
     """(key, start, end) of the repeated ranges around ``members`` (group, suffix, left side reversed, key, place).
 
     A window with l bytes left of the anchor is repeated if another member of the group has the same l bytes on the left and
-    the same LENGTH - l on the right: 64-bit hashes of both sides are compared for all l at once.
+    the same LENGTH - l on the right: 64-bit hashes of both sides are compared, one l after the other, so that memory is a few
+    hundred bytes for each member.
     """
     n = len(members)
     right, left = np.zeros((n, LENGTH), np.uint8), np.zeros((n, _SPAN), np.uint8)
@@ -185,26 +186,28 @@ def repeated(members: list[tuple[int, bytes, bytes, int, int]]) -> list[tuple[in
         right[i, : len(suffix)] = np.frombuffer(suffix, np.uint8)
         left[i, : len(before)] = np.frombuffer(before, np.uint8)
         r_len[i], l_len[i] = len(suffix), len(before)
-    hr = np.cumsum(_MIX[right] * _RIGHT, axis=1)[:, ::-1][:, : _SPAN + 1]  # column l: the first LENGTH - l bytes
-    hl = np.concatenate([np.zeros((n, 1), np.uint64), np.cumsum(_MIX[left] * _LEFT, axis=1)], axis=1)
-    group = np.array([m[0] for m in members], np.uint64)
-    ls = np.arange(_SPAN + 1)
-    fits = (ls[None, :] <= l_len[:, None]) & (LENGTH - ls[None, :] <= r_len[:, None])
-    h = (hr * _U(0xD6E8FEB86659FD93)) ^ (hr >> _U(31))
-    h = (h + hl * _U(0xA0761D6478BD642F)) * _BASE + (group[:, None] * _U(0xE7037ED1A0B428DB) ^ ls.astype(np.uint64)[None, :] * _U(0x8EBC6AF09C88C6E3))
-    flat = h[fits]
-    order = np.argsort(flat)
-    s = flat[order]
-    same = s[1:] == s[:-1]
-    twice = np.zeros(len(s), bool)
-    twice[1:] |= same
-    twice[:-1] |= same
-    hit = np.zeros(len(s), bool)
-    hit[order] = twice
+    group = np.array([m[0] for m in members], np.uint64) * _U(0xE7037ED1A0B428DB)
+    hits = np.zeros((n, _SPAN + 1), bool)
+    hr = (_MIX[right[:, :GRAM]] * _RIGHT[:GRAM]).sum(axis=1, dtype=np.uint64)  # of the first LENGTH - l bytes, from l = _SPAN down
+    hl = np.zeros(n, np.uint64)
+    for j in range(_SPAN):
+        hl += _MIX[left[:, j]] * _LEFT[j]
+    for l in range(_SPAN, -1, -1):
+        fits = np.flatnonzero((l_len >= l) & (r_len >= LENGTH - l))
+        if len(fits) > 1:
+            h = hr[fits] * _U(0xD6E8FEB86659FD93) + (hl[fits] ^ group[fits]) * _U(0xA0761D6478BD642F)
+            order = np.argsort(h)
+            s = h[order]
+            same = s[1:] == s[:-1]
+            twice = np.zeros(len(s), bool)
+            twice[1:] |= same
+            twice[:-1] |= same
+            hits[fits[order[twice]], l] = True
+        if l:
+            hr += _MIX[right[:, LENGTH - l]] * _RIGHT[LENGTH - l]
+            hl -= _MIX[left[:, l - 1]] * _LEFT[l - 1]
     mask = np.zeros((n, _SPAN + 3), np.int8)
-    inner = np.zeros(fits.shape, bool)
-    inner[fits] = hit
-    mask[:, 1:-1] = inner
+    mask[:, 1:-1] = hits
     edge = np.diff(mask, axis=1)
     rows, first = np.nonzero(edge == 1)
     _, after = np.nonzero(edge == -1)
@@ -225,6 +228,7 @@ def _bucket_rows(values: np.ndarray, bits: int):
 
 def _find_anchors(bits: int):
     def run(batches):
+        common.lean()
         for b in batches:
             made = []
             for key, text in zip(b.column(0).to_pylist(), common.texts(b.column(1))):
@@ -244,6 +248,7 @@ def _find_anchors(bits: int):
 
 def _meet_anchors(group: pa.Table) -> pa.Table:
     """Of the anchors of a bucket: ranges (kind 0) whose neighbourhood is repeated, and edges (kind 1; stop is the gram's hash)."""
+    common.lean()
     x = np.concatenate([np.frombuffer(v, _ANCHOR) for v in group.column("anchors").to_pylist()])
     x = x[np.lexsort((x["around"], x["gram"]))]
     new_gram = np.concatenate([[True], x["gram"][1:] != x["gram"][:-1]])
@@ -262,6 +267,7 @@ def _meet_anchors(group: pa.Table) -> pa.Table:
 
 def _sort_suffixes(bits: int):
     def run(batches):
+        common.lean()
         held: dict[int, list] = {}
 
         def flush():
@@ -277,7 +283,7 @@ def _sort_suffixes(bits: int):
                     k = (g & (1 << 64) - 1) >> (64 - bits) if bits else 0
                     held.setdefault(k, []).append((text[p : p + LENGTH], text[max(0, p - _SPAN) : p][::-1], key, p))
                 n += len(places)
-            if n >= BUCKET:
+            if n >= SUFFIXES:
                 rows, n = list(flush()), 0
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "run"])
         rows = list(flush())
@@ -287,11 +293,12 @@ def _sort_suffixes(bits: int):
 
 
 def _merge_suffixes(group: pa.Table) -> pa.Table:
+    common.lean()
     out, members, number = [], [], 0
     for suffix, shared, (before, key, place) in PrefixLoserTree([decode_run(r) for r in group.column("run").to_pylist()]):
         if shared < GRAM:  # another gram: a new group
             number += 1
-            if len(members) >= 10_000:
+            if len(members) >= 2_000:
                 out += repeated(members)
                 members = []
         members.append((number, suffix, before, key, place))
@@ -318,8 +325,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(F.col(id_col), text).alias("key"), F.col(id_col).alias("id"), text.alias("text"))
 
 
-def _bits(n: int) -> int:
-    return max(0, int(np.ceil(np.log2(max(1, n) / BUCKET))))
+def _bits(n: int, most: int) -> int:
+    return max(0, int(np.ceil(np.log2(max(1, n) / most))))
 
 
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -328,7 +335,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     common.small_batches(spark)
     rows = _keyed(docs, id_col, text_col)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    found = rows.select("key", "text").mapInArrow(_find_anchors(_bits(size * 2 // (_SPAN + 2))), "bucket long, anchors binary")
+    found = rows.select("key", "text").mapInArrow(_find_anchors(_bits(size * 2 // (_SPAN + 2), BUCKET)), "bucket long, anchors binary")
     met = common.stash(found.groupBy("bucket").applyInArrow(_meet_anchors, "key long, kind long, start long, stop long"), "anchors")
     common.free_shuffles(spark)
     whole = met.where("kind = 0").select("key", "start", "stop")
@@ -338,7 +345,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # of rows that are equal throughout, one shows its suffixes: their other copies are in ``whole``
     texts = rows.select("key", "text").join(lists, F.col("key") == F.col("k")).select("key", "text", "place", "gram")
     common.small_batches(spark)
-    runs = texts.mapInArrow(_sort_suffixes(_bits(n)), "bucket long, run binary")
+    runs = texts.mapInArrow(_sort_suffixes(_bits(n, SUFFIXES)), "bucket long, run binary")
     merged = common.stash(runs.groupBy("bucket").applyInArrow(_merge_suffixes, "key long, start long, stop long"), "merged")
     common.free_shuffles(spark)
     return whole.unionAll(merged)
