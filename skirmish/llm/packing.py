@@ -1,8 +1,8 @@
 """Best-fit packing of documents into sequences, by hierarchical residual packing.
 
 Every partition packs its own pieces by best fit and emits the sequences that came out nearly full. What lies in underfull
-ones goes up a tree as items again: a fixed number of groups meet in each node, which packs by best fit in turn, until the
-root emits all that is left. Only residues move, so the shuffle is a small fraction of the pieces.
+ones goes up a tree as items again: each level has fewer nodes, to which the groups below deal their pieces by length, and
+which pack by best fit in turn, until the last level emits all that is left. Only residues move.
 """
 
 from __future__ import annotations
@@ -22,11 +22,13 @@ MAX_TOKENS = 1024
 END = 2
 #: A sequence with so many free places or fewer is nearly full.
 SLACK = 8
-#: Groups that meet in a node of the tree.
+#: A level has a node for so many groups of the level below.
 FANOUT = 8
-#: Pieces that a group sends up, at most; beyond that its fullest underfull sequences are emitted as they are (each but one
-#: is more than half full, so no two of them would fit into one).
-CARRY = 20_000
+#: Pieces of a node, about, at most. A level that would have larger nodes has more of them, and the tree ends where levels get
+#: no narrower; as all nodes of a level have the same mix of lengths, little is lost by that.
+NODE = 1_000_000
+#: A group deals its pieces to so many nodes, at most.
+SPREAD = 64
 CACHE = 1_000_000
 _NULL = np.iinfo(np.int64).min
 SCHEMA = "grp int, sequence_id long, offset long, doc_id long, piece int, start long, length long, ids_crc32 long, loose binary"
@@ -120,8 +122,11 @@ def best_fit(sizes: np.ndarray, most: int = MAX_TOKENS) -> tuple[np.ndarray, np.
     return bins, offsets, free
 
 
-def pack(pieces: np.ndarray, final: bool, base: int, most: int = MAX_TOKENS, slack: int = SLACK, carry: int = CARRY) -> tuple[np.ndarray, np.ndarray]:
-    """Packs ``pieces`` (rows of doc_id, piece, start, length, crc); (rows of sequence_id, offset, *piece; the rows that go up)."""
+def pack(pieces: np.ndarray, final: bool, base: int, most: int = MAX_TOKENS, slack: int = SLACK, carry: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Packs ``pieces`` (rows of doc_id, piece, start, length, crc); (rows of sequence_id, offset, *piece; the rows that go up).
+
+    All pieces of underfull bins go up, or the emptiest bins' first ``carry`` pieces.
+    """
     pieces = pieces[np.lexsort((pieces[:, 1], pieces[:, 0]))]
     bins, offsets, free = best_fit(pieces[:, 3], most)
     spare = np.array(free, np.int64)
@@ -130,7 +135,7 @@ def pack(pieces: np.ndarray, final: bool, base: int, most: int = MAX_TOKENS, sla
         count = np.bincount(bins, minlength=len(spare))
         order = np.argsort(-spare, kind="stable")
         order = order[spare[order] > slack]
-        loose[order[np.cumsum(count[order]) <= carry]] = True
+        loose[order if carry is None else order[np.cumsum(count[order]) <= carry]] = True
     up = loose[bins] if len(spare) else np.zeros(0, bool)
     done = np.column_stack([bins[~up] + base, offsets[~up], pieces[~up]])
     return done, pieces[up]
@@ -151,6 +156,23 @@ def _batch(grp: int, done: np.ndarray, up: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in SCHEMA.split(", ")])
 
 
+def deal(grp: int, pieces: np.ndarray, nodes: int, spread: int = SPREAD) -> list[tuple[int, np.ndarray]]:
+    """(node, pieces): a group's pieces, dealt by turns in order of length to nodes that lie all over the level."""
+    n = min(nodes, spread)
+    ranked = pieces[np.argsort(-pieces[:, 3], kind="stable")]
+    return [((grp + i * (nodes // n)) % nodes, ranked[i::n]) for i in range(n) if i < len(ranked)]
+
+
+def _deal(nodes: int):
+    def run(batches):
+        for b in batches:
+            for grp, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                parts = deal(grp, np.frombuffer(raw, np.int64).reshape(-1, 5), nodes)
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([x.tobytes() for _, x in parts], pa.binary())], ["node", "loose"])
+
+    return run
+
+
 def _merge(depth: int, final: bool, most: int, slack: int):
     """A node of the tree: packs what its groups sent up."""
 
@@ -162,7 +184,7 @@ def _merge(depth: int, final: bool, most: int, slack: int):
     return merge
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, most: int = MAX_TOKENS, end: int = END, slack: int = SLACK, fanout: int = FANOUT) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, most: int = MAX_TOKENS, end: int = END, slack: int = SLACK, fanout: int = FANOUT, node: int = NODE) -> DataFrame:
     """(sequence_id, offset, doc_id, piece, start, length, ids_crc32): one row per piece of each document.
 
     A document is its text's ids and the end id; documents of more than ``most`` tokens are cut. A null or empty text is the
@@ -194,15 +216,17 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     level = common.stash(rows.mapInArrow(local, SCHEMA), "level0")
     levels, depth = [level], 0
-    groups = level.agg(F.max("grp")).first()[0]
+    groups = level.agg(F.max("grp") + 1).first()[0]
     while groups is not None:
         depth += 1
-        final = groups < fanout
-
-        up = level.where("loose is not null").select(F.floor(F.col("grp") / fanout).cast("int").alias("node"), "loose")
-        level = common.stash(up.groupBy("node").applyInArrow(_merge(depth, final, most, slack), SCHEMA), f"level{depth}")
+        up = level.where("loose is not null").select("grp", "loose")
+        pieces = (up.agg(F.sum(F.octet_length("loose").cast("long"))).first()[0] or 0) // 40
+        nodes = max(-(-groups // fanout), -(-pieces // node))
+        final = nodes == 1 or nodes >= groups
+        dealt = up.mapInArrow(_deal(nodes), "node int, loose binary")
+        level = common.stash(dealt.groupBy("node").applyInArrow(_merge(depth, final, most, slack), SCHEMA), f"level{depth}")
         levels.append(level)
-        groups = None if final else groups // fanout
+        groups = None if final else nodes
     out = levels[0]
     for x in levels[1:]:
         out = out.unionAll(x)

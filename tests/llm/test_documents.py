@@ -251,3 +251,22 @@ def test_quality(spark, docs, edge, sf):
     assert quality.score(edge.limit(0), model).count() == 0
     none = quality.fit(docs, labels.limit(0))
     assert {r.score for r in quality.score(edge, none).collect()} == {0.5}
+
+
+def test_packing_of_partitions_with_lengths_of_their_own(spark):
+    """Two partitions of 600 tokens a document and two of 360: one of each fills a sequence, however many a partition has."""
+    text = F.when(F.col("id") < 50_000, F.repeat(F.lit(" a"), 599)).otherwise(F.repeat(F.lit(" a"), 359))
+    rows = spark.range(0, 100_000, 1, 4).select(F.col("id").alias("doc_id"), text.alias("text"))
+    for options in ({}, {"node": 30_000}):
+        out = packing.pack_documents(rows, **options).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("k"), F.min("offset").alias("o")).agg(F.count("*"), F.sum("k"), F.max("n"), F.max("o")).first()
+        assert out[0] <= 50_000 + 8 and tuple(out[1:]) == (100_000, 960, 0)
+
+
+def test_dealt_pieces_are_all_pieces_in_equal_mixes():
+    pieces = np.array([[i, 0, 0, n, 0] for i, n in enumerate([600] * 500 + [100] * 300)])
+    for nodes in (1, 3, 64, 700):
+        parts = packing.deal(5, pieces, nodes)
+        assert len({k for k, _ in parts}) == len(parts) and all(0 <= k < nodes for k, _ in parts)
+        assert sorted(np.concatenate([x for _, x in parts])[:, 0].tolist()) == list(range(800))
+        counts = [int((x[:, 3] == 600).sum()) for _, x in parts]
+        assert max(counts) - min(counts) <= 1
