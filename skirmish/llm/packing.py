@@ -50,7 +50,8 @@ def _byte_marks() -> dict[int, str]:
 class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes, by a byte-level BPE file of ``tokenizers``.
 
-    Text is cut by the file's pattern, and the model's ids of each part are cached, for most parts of a text occur again.
+    Text is cut by the file's pattern, and the model's ids of each part are cached, for most parts of a text occur again. A text
+    that holds one of the file's added tokens goes to the tokenizer as a whole, for these have ids of their own.
     A worker process keeps its encoder from task to task.
     """
 
@@ -69,6 +70,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.marks = str.maketrans({chr(b): c for b, c in _byte_marks().items()})
         self.cut = regex.compile(public_tokenizers.PATTERN).findall
         self.cache: dict[str, bytes] = {}
@@ -78,6 +80,8 @@ class Encoder:
         return array("I", [t.id for t in self.model.tokenize(marked)]).tobytes()
 
     def encode(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         parts, cache = self.cut(text), self.cache
         found = [cache.get(p) for p in parts]
         if None in found:

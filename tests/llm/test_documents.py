@@ -270,3 +270,17 @@ def test_dealt_pieces_are_all_pieces_in_equal_mixes():
         assert sorted(np.concatenate([x for _, x in parts])[:, 0].tolist()) == list(range(800))
         counts = [int((x[:, 3] == 600).sum()) for _, x in parts]
         assert max(counts) - min(counts) <= 1
+
+
+def test_packing_ids_of_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "no <|endoftext| > here", "word " * 3000 + "<|endoftext|>é"]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    got = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for i, ids in enumerate(want):
+        raw = np.array([*ids, packing.END], "<u4").tobytes()
+        cuts = [(p, s, n, zlib.crc32(raw[4 * s : 4 * (s + n)])) for p, (s, n) in enumerate(packing.cut_points(len(ids) + 1))]
+        assert sorted((r.piece, r.start, r.length, r.ids_crc32) for r in got if r.doc_id == i) == cuts
