@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.rounding import rounded
 
 
 def prior(keys: list[str], time: str):
@@ -13,18 +14,33 @@ def prior(keys: list[str], time: str):
     return Window.partitionBy(*keys).orderBy(time).rangeBetween(Window.unboundedPreceding, -1)
 
 
-def prior_rates(df: DataFrame, keys: list[str], time: str, won: str, name: str) -> DataFrame:
-    """Adds prior games, wins, decided games and win rate (null without any) by ``keys``."""
-    w = prior(keys, time)
-    wins, decided = F.count_if(F.col(won)).over(w), F.count(won).over(w)
-    return df.withColumn(f"{name}_games", F.count("*").over(w)).withColumn(f"{name}_wins", wins).withColumn(f"{name}_rate", F.when(decided > 0, F.round(wins / decided, 6)))
+def prior_sums(df: DataFrame, keys: list[str], time: str, sums: dict[str, Column], width: int) -> DataFrame:
+    """(keys, time, names): sums over all rows of the keys with a smaller time, for each time that occurs.
+
+    Rows are aggregated per time first. Times are cut into buckets of ``width``; a bucket's own prefix is added to the sum of the
+    buckets before it, so that a key with a third of all rows is spread over its buckets.
+    """
+    per = df.groupBy(*keys, time).agg(*[c.alias(n) for n, c in sums.items()]).withColumn("__b", F.floor(F.col(time) / width))
+    inner = Window.partitionBy(*keys, "__b").orderBy(time).rangeBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy(*keys).orderBy("__b").rangeBetween(Window.unboundedPreceding, -1)
+    totals = per.groupBy(*keys, "__b").agg(*[F.sum(n).alias(f"__{n}") for n in sums])
+    base = totals.select(*keys, "__b", *[F.coalesce(F.sum(f"__{n}").over(outer), F.lit(0)).alias(f"__{n}") for n in sums])
+    own = per.select(*keys, time, "__b", *[F.coalesce(F.sum(n).over(inner), F.lit(0)).alias(n) for n in sums])
+    return own.join(base, [*keys, "__b"]).select(*keys, time, *[(F.col(n) + F.col(f"__{n}")).alias(n) for n in sums])
+
+
+STATE_KEYS = {"pair": ["player", "hero"], "player": ["player"], "hero": ["hero"], "team_hero": ["team", "hero"]}
 
 
 def player_hero_state(appearances: DataFrame) -> DataFrame:
-    """Per appearance: prior state of the player, the hero, the pair, at game level (series time, then game)."""
+    """Per appearance: prior games, wins and win rate (null without a decided game) of the player, the hero, the pair, and the
+    hero in the team, at game level (series time, then game)."""
     a = appearances.withColumn("clock", F.col("t") * 1000 + F.col("game_number"))
-    for keys, name in ((["player"], "player"), (["hero"], "hero"), (["player", "hero"], "pair")):
-        a = prior_rates(a, keys, "clock", "won", name)
+    won = {"g": F.count("*"), "w": F.count_if("won"), "d": F.count("won")}
+    for name, keys in STATE_KEYS.items():
+        state = prior_sums(a, keys, "clock", won, 24 * 90 * 1000)
+        rate = F.when(F.col("d") > 0, rounded(F.col("w") / F.col("d")))
+        a = a.join(state.select(*keys, "clock", F.col("g").alias(f"{name}_games"), F.col("w").alias(f"{name}_wins"), rate.alias(f"{name}_rate")), [*keys, "clock"])
     return a.drop("clock")
 
 
@@ -36,11 +52,33 @@ def preseries_state(appearances: DataFrame) -> DataFrame:
 
 
 def draft_state(events: DataFrame, m: float = 10.0) -> DataFrame:
-    """Per draft event: prior picks, bans and shrunk win rate of the hero; the same game does not count."""
-    w = prior(["hero"], "t")
-    picks, bans = F.count_if(F.col("kind") == "P").over(w), F.count_if(F.col("kind") == "B").over(w)
-    won, known = F.count_if((F.col("kind") == "P") & F.col("won")).over(w), F.count_if((F.col("kind") == "P") & F.col("won").isNotNull()).over(w)
-    return events.select("series_id", "seq", "hero", "kind", picks.alias("prior_picks"), bans.alias("prior_bans"), F.round(C.shrunk(won, known, m), 6).alias("prior_rate"))
+    """Per draft event: prior picks, bans and shrunk win rate of the hero, and of the hero in the team; the same game does not count."""
+    pick = F.col("kind") == "P"
+    sums = {"picks": F.count_if(pick), "bans": F.count_if(F.col("kind") == "B"), "w": F.count_if(pick & F.col("won")), "d": F.count_if(pick & F.col("won").isNotNull())}
+    hero = prior_sums(events, ["hero"], "t", sums, 24 * 90)
+    team = prior_sums(events, ["team", "hero"], "t", {"w": sums["w"], "d": sums["d"]}, 24 * 90)
+    rate = rounded(C.shrunk(F.col("w"), F.col("d"), m))
+    out = events.join(hero.select("hero", "t", F.col("picks").alias("prior_picks"), F.col("bans").alias("prior_bans"), rate.alias("prior_rate")), ["hero", "t"])
+    out = out.join(team.select("team", "hero", "t", rate.alias("team_prior_rate"), (F.col("d") >= 5).alias("team_min_sample")), ["team", "hero", "t"])
+    return out.select("series_id", "seq", "hero", "kind", "prior_picks", "prior_bans", "prior_rate", "team_prior_rate", "team_min_sample")
+
+
+def pair_state(appearances: DataFrame, m: float = 10.0) -> tuple[DataFrame, DataFrame]:
+    """(synergy, counter): per game and pair of heroes of one side, and per game and pair across sides (ordered), prior games,
+    decided games and shrunk win rate. A game makes at most 20 and 50 rows."""
+    side = appearances.groupBy("series_id", "t", "game_number", "side", "won").agg(F.array_sort(F.collect_set("hero")).alias("h"))
+    inner = F.expr("flatten(transform(h, (x, i) -> transform(slice(h, i + 2, size(h)), y -> struct(x as a, y as b))))")
+    pairs = side.select("series_id", "t", "game_number", "side", "won", F.explode(inner).alias("p")).select("series_id", "t", "game_number", "side", "won", "p.*")
+    other = side.select("series_id", "game_number", (1 - F.col("side")).alias("side"), F.col("h").alias("o"))
+    cross = side.join(other, ["series_id", "game_number", "side"]).select("series_id", "t", "game_number", "side", "won", F.explode(F.expr("flatten(transform(h, x -> transform(o, y -> struct(x as a, y as b))))")).alias("p")).select("series_id", "t", "game_number", "side", "won", "p.*")
+
+    def state(rows):
+        rows = rows.withColumn("clock", F.col("t") * 1000 + F.col("game_number"))
+        s = prior_sums(rows, ["a", "b"], "clock", {"g": F.count("*"), "w": F.count_if("won"), "d": F.count("won")}, 24 * 365 * 1000)
+        s = s.select("a", "b", "clock", F.col("g").alias("prior_games"), F.col("d").alias("prior_decided"), rounded(C.shrunk(F.col("w"), F.col("d"), m)).alias("prior_rate"))
+        return rows.join(s, ["a", "b", "clock"]).drop("clock", "won")
+
+    return state(pairs), state(cross)
 
 
 def rolling_form(long: DataFrame, k: int = 5) -> DataFrame:
@@ -140,13 +178,6 @@ def draft_quality(events: DataFrame) -> DataFrame:
     return per.withColumn("standard", F.col("shape") == "BBBBPPPPPPBBBBPPPP")
 
 
-def lineup_flags(appearances: DataFrame) -> DataFrame:
-    """Per game: flags in a fixed vocabulary; DUPLICATE_HERO if both sides share one, WINNER_MISSING, PLAYER_TWICE."""
-    per = appearances.groupBy("series_id", "game_number").agg(F.count("*").alias("n"), F.countDistinct("hero").alias("heroes"), F.countDistinct("player").alias("players"), F.count("won").alias("known"))
-    flags = F.array_compact(F.array(F.when(F.col("heroes") < F.col("n"), "DUPLICATE_HERO"), F.when(F.col("players") < F.col("n"), "PLAYER_TWICE"), F.when(F.col("known") == 0, "WINNER_MISSING"), F.when(F.col("n") != 10, "INCOMPLETE")))
-    return per.select("series_id", "game_number", F.when(F.size(flags) == 0, "OK").otherwise(F.array_join(F.array_sort(flags), "|")).alias("flags"))
-
-
 def recency_strength(appearances: DataFrame, half: float = 90 * 24.0) -> DataFrame:
     """Per hero and time: wins and games before it, weighted 0.5^(age / half), by scaled prefix sums.
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.rounding import rounded, rounded_sql
 from ..operators import backbone as B
 from ..operators import history as H
 from ..sources import adapter as A
@@ -154,14 +155,14 @@ def w09(spark, sf):
 @query("w13_pick_rate", "draft_events", f"""
 WITH g AS (SELECT t, count(DISTINCT series_id) AS n FROM draft_events GROUP BY t), b AS (SELECT t, coalesce(sum(n) OVER (ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS games FROM g),
 h AS (SELECT hero, t, count(*) FILTER (kind = 'P') AS p FROM draft_events GROUP BY 1, 2), x AS (SELECT hero, t, coalesce(sum(p) OVER ({PRIOR.format(k='hero', t='t')}), 0) AS picks FROM h)
-SELECT hero, t, round(picks / greatest(games, 1), 6) AS rate FROM x JOIN b USING (t)""")
+SELECT hero, t, {rounded_sql("picks / greatest(games, 1)")} AS rate FROM x JOIN b USING (t)""")
 def w13(spark, sf):
     """Prior picks of a hero over the games before; one row per distinct time is ranked in one task."""
     e = A.draft_events(spark, sf)
     g = e.groupBy("t").agg(F.countDistinct("series_id").alias("n"))
     b = g.select("t", F.coalesce(F.sum("n").over(Window.orderBy("t").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("games"))
     h = e.groupBy("hero", "t").agg(F.count_if(F.col("kind") == "P").alias("p")).withColumn("picks", F.coalesce(F.sum("p").over(H.prior(["hero"], "t")), F.lit(0)))
-    return h.join(b, "t").select("hero", "t", F.round(F.col("picks") / F.greatest("games", F.lit(1)), 6).alias("rate"))
+    return h.join(b, "t").select("hero", "t", rounded(F.col("picks") / F.greatest("games", F.lit(1))).alias("rate"))
 
 
 @query("a01_quality_metrics", "appearances draft_events", """

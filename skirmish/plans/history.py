@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.rounding import rounded_sql
 from ..operators import backbone as B
 from ..operators import history as H
 from ..sources import adapter as A
@@ -15,12 +16,13 @@ PRIOR = "PARTITION BY {k} ORDER BY {t} RANGE BETWEEN UNBOUNDED PRECEDING AND 1 P
 
 def _rates(k, name, t="clock"):
     w = f"({PRIOR.format(k=k, t=t)})"
-    return f"count(*) OVER {w} AS {name}_games, count(*) FILTER (won) OVER {w} AS {name}_wins, CASE WHEN count(won) OVER {w} > 0 THEN round(count(*) FILTER (won) OVER {w} / count(won) OVER {w}, 6) END AS {name}_rate"
+    rate = rounded_sql(f"count(*) FILTER (won) OVER {w} / count(won) OVER {w}")
+    return f"count(*) OVER {w} AS {name}_games, count(*) FILTER (won) OVER {w} AS {name}_wins, CASE WHEN count(won) OVER {w} > 0 THEN {rate} END AS {name}_rate"
 
 
-@query("w03_player_hero_state", "appearances", f"SELECT series_id, game_number, side, position, {_rates('player', 'player')}, {_rates('hero', 'hero')}, {_rates('player, hero', 'pair')} FROM (SELECT *, t * 1000 + game_number AS clock FROM appearances)")
+@query("w03_player_hero_state", "appearances", f"SELECT series_id, game_number, side, position, {_rates('player, hero', 'pair')}, {_rates('player', 'player')}, {_rates('hero', 'hero')}, {_rates('team, hero', 'team_hero')} FROM (SELECT *, t * 1000 + game_number AS clock FROM appearances)")
 def w03(spark, sf):
-    cols = [f"{n}_{c}" for n in ("player", "hero", "pair") for c in ("games", "wins", "rate")]
+    cols = [f"{n}_{c}" for n in H.STATE_KEYS for c in ("games", "wins", "rate")]
     return H.player_hero_state(A.appearances(spark, sf)).select("series_id", "game_number", "side", "position", *cols)
 
 
@@ -31,14 +33,34 @@ def w03b(spark, sf):
     return H.preseries_state(A.appearances(spark, sf))
 
 
+_SHRUNK = "(count(*) FILTER (kind = 'P' AND won) OVER {w} + 5.0) / (count(*) FILTER (kind = 'P' AND won IS NOT NULL) OVER {w} + 10.0)"
+
+
 @query("w04_draft_state", "draft_events", f"""
 SELECT series_id, seq, hero, kind, count(*) FILTER (kind = 'P') OVER x AS prior_picks, count(*) FILTER (kind = 'B') OVER x AS prior_bans,
- round((count(*) FILTER (kind = 'P' AND won) OVER x + 5.0) / (count(*) FILTER (kind = 'P' AND won IS NOT NULL) OVER x + 10.0), 6) AS prior_rate
-FROM draft_events WINDOW x AS ({PRIOR.format(k='hero', t='t')})""")
+ {rounded_sql(_SHRUNK.format(w='x'))} AS prior_rate, {rounded_sql(_SHRUNK.format(w='y'))} AS team_prior_rate, count(*) FILTER (kind = 'P' AND won IS NOT NULL) OVER y >= 5 AS team_min_sample
+FROM draft_events WINDOW x AS ({PRIOR.format(k='hero', t='t')}), y AS ({PRIOR.format(k='team, hero', t='t')})""")
 def w04(spark, sf):
     return H.draft_state(A.draft_events(spark, sf))
 
 
+_PAIR_STATE = """
+h AS (SELECT DISTINCT series_id, t, game_number, side, won, hero, t * 1000 + game_number AS clock FROM appearances),
+p AS (SELECT a.series_id, a.t, a.game_number, a.side, a.won, a.clock, a.hero AS a, b.hero AS b FROM h a JOIN h b ON a.series_id = b.series_id AND a.game_number = b.game_number AND {on})
+SELECT series_id, t, game_number, side, a, b, count(*) OVER w AS prior_games, count(won) OVER w AS prior_decided, {rate} AS prior_rate FROM p WINDOW w AS ({w})"""
+_PAIR = {"rate": rounded_sql("(count(*) FILTER (won) OVER w + 5.0) / (count(won) OVER w + 10.0)"), "w": PRIOR.format(k="a, b", t="clock")}
+
+
+@query("w04_synergy_state", "appearances", "WITH " + _PAIR_STATE.format(on="a.side = b.side AND a.hero < b.hero", **_PAIR))
+def w04s(spark, sf):
+    return H.pair_state(A.appearances(spark, sf))[0]
+
+
+@query("w04_counter_state", "appearances", "WITH " + _PAIR_STATE.format(on="a.side <> b.side", **_PAIR))
+def w04c(spark, sf):
+    return H.pair_state(A.appearances(spark, sf))[1]
+
+
 SIDES = f"""
 l AS (SELECT series_id, t, 'a' AS side, team_a AS team, score_a > score_b AS won FROM series WHERE ({LABEL}) = 'COMPLETED' UNION ALL SELECT series_id, t, 'b', team_b, score_b > score_a FROM series WHERE ({LABEL}) = 'COMPLETED')"""
 
@@ -161,14 +183,6 @@ def p05(spark, sf):
     return A.draft_events(spark, sf).groupBy(phase.alias("phase"), "kind").agg(F.count("*").alias("n"), F.countDistinct("hero").alias("heroes"))
 
 
-@query("p09_lineup_flags", "appearances", """
-WITH p AS (SELECT series_id, game_number, count(*) AS n, count(DISTINCT hero) AS heroes, count(DISTINCT player) AS players, count(won) AS known FROM appearances GROUP BY 1, 2),
-f AS (SELECT *, list_filter([CASE WHEN heroes < n THEN 'DUPLICATE_HERO' END, CASE WHEN n <> 10 THEN 'INCOMPLETE' END, CASE WHEN players < n THEN 'PLAYER_TWICE' END, CASE WHEN known = 0 THEN 'WINNER_MISSING' END], lambda x: x IS NOT NULL) AS x FROM p)
-SELECT series_id, game_number, CASE WHEN len(x) = 0 THEN 'OK' ELSE array_to_string(x, '|') END AS flags FROM f""")
-def p09(spark, sf):
-    return H.lineup_flags(A.appearances(spark, sf))
-
-
 @query("w10_recency_strength", "appearances", """
 WITH p AS (SELECT hero, t, count(*) AS g, count(*) FILTER (won) AS w FROM appearances WHERE won IS NOT NULL GROUP BY 1, 2),
 u AS (SELECT *, pow(2.0, (t - min(t) OVER (PARTITION BY hero)) / 2160.0) AS u FROM p),
