@@ -4,21 +4,20 @@ Only suffixes at content-defined anchors are sorted: the smallest hash of the GR
 bytes, which equal windows choose alike. So two equal windows share an anchor at the same place, and whatever is repeated is
 seen in the neighbourhoods of suffixes that start with the same gram.
 
-1. Every partition finds its anchors and sends (gram's hash, neighbourhood's hash); anchors whose gram occurs once are done,
-   and those whose whole neighbourhood occurs again mark all of it as repeated.
-2. Anchors that share a gram but not the neighbourhood (edges of repeats) are sorted as suffixes in each partition. The sorted
-   runs are exchanged front-coded, and loser trees merge them that compare only past the prefixes known to be common. In
-   each group of suffixes that share the gram, windows are equal if what is left and right of the anchor is.
+1. Every partition finds its anchors and sends their gram's hash: a sieve that only drops anchors whose gram occurs once.
+2. The suffixes at the others are sorted in each partition. The sorted runs are exchanged front-coded, and loser trees merge
+   them that compare only past the prefixes known to be common. In the merged order the common prefixes of neighbours tell
+   which suffixes agree in their first r bytes; what is left of the anchors is ordered in the same way. A window is repeated if
+   its two parts agree with those of another suffix: ranks in the two orders are compared, bytes behind them, no hashes.
 3. The marked ranges of a document are united and its other bytes kept.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -141,81 +140,92 @@ class PrefixLoserTree:
 
 
 def front_code(items: list[tuple[bytes, bytes, int, int]]) -> bytes:
-    """A run: sorted (suffix, left side reversed, key, place), each suffix without the prefix it shares with the one before."""
-    lcp, cut, left, keys, places, last = [], [], [], [], [], b""
-    for suffix, before, key, place in items:
-        n = common_prefix(last, suffix, 0)
-        lcp.append(n)
-        cut.append(suffix[n:])
-        left.append(before)
+    """A run: sorted (suffix, left side reversed, key, place), each side without the prefix it shares with the one before, compressed."""
+    shared, cut, keys, places = ([], []), ([], []), [], []
+    last = [b"", b""]
+    for *sides, key, place in items:
+        for i, x in enumerate(sides):
+            n = common_prefix(last[i], x, 0)
+            shared[i].append(n)
+            cut[i].append(x[n:])
+            last[i] = x
         keys.append(key)
         places.append(place)
-        last = suffix
     n = len(items)
-    return b"".join([np.int64(n).tobytes(), np.array(lcp, np.uint8).tobytes(), np.fromiter(map(len, cut), np.uint8, n).tobytes(), np.fromiter(map(len, left), np.uint8, n).tobytes(), np.array(keys, np.int64).tobytes(), np.array(places, np.int64).tobytes(), b"".join(cut), b"".join(left)])
+    lengths = [np.fromiter(map(len, c), np.uint8, n).tobytes() for c in cut]
+    head = [np.int64(n).tobytes(), *[np.array(x, np.uint8).tobytes() for x in shared], *lengths, np.array(keys, np.int64).tobytes(), np.array(places, np.int64).tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([*head, *cut[0], *cut[1]]))
 
 
-def decode_run(blob: bytes):
+def decode_run(packed: bytes):
+    blob = zstandard.ZstdDecompressor().decompress(packed)
     n = int(np.frombuffer(blob, np.int64, 1)[0])
-    lcp, cut, left = (np.frombuffer(blob, np.uint8, n, 8 + i * n) for i in range(3))
-    keys, places = (np.frombuffer(blob, np.int64, n, 8 + 3 * n + i * 8 * n) for i in range(2))
-    at = 8 + 19 * n
+    lcp, left_lcp, cut, left_cut = (np.frombuffer(blob, np.uint8, n, 8 + i * n) for i in range(4))
+    keys, places = (np.frombuffer(blob, np.int64, n, 8 + 4 * n + i * 8 * n) for i in range(2))
+    at = 8 + 20 * n
     before = at + int(cut.sum(dtype=np.int64))
-    last = b""
-    for p, c, m, key, place in zip(lcp.tolist(), cut.tolist(), left.tolist(), keys.tolist(), places.tolist()):
-        last = last[:p] + blob[at : at + c]
-        yield last, p, (blob[before : before + m], key, place)
+    last = left = b""
+    for i in range(n):
+        c, m = int(cut[i]), int(left_cut[i])
+        last = last[: lcp[i]] + blob[at : at + c]
+        left = left[: left_lcp[i]] + blob[before : before + m]
+        yield last, int(lcp[i]), (left, int(keys[i]), int(places[i]))
         at, before = at + c, before + m
 
 
-_RIGHT = np.array([xxhash.xxh64_intdigest(bytes([i]), 21) | 1 for i in range(LENGTH)], np.uint64)
-_LEFT = np.array([xxhash.xxh64_intdigest(bytes([i]), 22) | 1 for i in range(_SPAN)], np.uint64)
+def _shared_left(lefts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the left sides, bytes each shares with the one before it in that order)."""
+    order = sorted(range(len(lefts)), key=lefts.__getitem__)
+    size = np.array([len(x) for x in lefts], np.int64)[order]
+    rows = np.zeros((len(lefts), _SPAN), np.uint8)
+    for i, k in enumerate(order):
+        rows[i, : size[i]] = np.frombuffer(lefts[k], np.uint8)
+    shared = np.zeros(len(lefts), np.int64)
+    if len(lefts) > 1:
+        differs = rows[1:] != rows[:-1]
+        first = np.where(differs.any(axis=1), differs.argmax(axis=1), _SPAN)
+        shared[1:] = np.minimum(first, np.minimum(size[1:], size[:-1]))
+    return np.array(order, np.int64), shared
 
 
-def repeated(members: list[tuple[int, bytes, bytes, int, int]]) -> list[tuple[int, int, int]]:
-    """(key, start, end) of the repeated ranges around ``members`` (group, suffix, left side reversed, key, place).
+def repeated(suffixes: list[int], shared: list[int], lefts: list[bytes]) -> np.ndarray:
+    """hits[i, l]: whether the window with l bytes left of the anchor of member i is another member's as well.
 
-    A window with l bytes left of the anchor is repeated if another member of the group has the same l bytes on the left and
-    the same LENGTH - l on the right: 64-bit hashes of both sides are compared, one l after the other, so that memory is a few
-    hundred bytes for each member.
+    Members are different (suffix, left side) in the order of their suffixes: ``suffixes`` has their lengths, ``shared`` the
+    prefix each shares with the one before. Suffixes agree in r bytes if all shared prefixes between them are r or more, so
+    counting the smaller ones gives each length's classes; left sides likewise in their own order.
     """
-    n = len(members)
-    right, left = np.zeros((n, LENGTH), np.uint8), np.zeros((n, _SPAN), np.uint8)
-    r_len, l_len = np.empty(n, np.int64), np.empty(n, np.int64)
-    for i, (_, suffix, before, _, _) in enumerate(members):
-        right[i, : len(suffix)] = np.frombuffer(suffix, np.uint8)
-        left[i, : len(before)] = np.frombuffer(before, np.uint8)
-        r_len[i], l_len[i] = len(suffix), len(before)
-    group = np.array([m[0] for m in members], np.uint64) * _U(0xE7037ED1A0B428DB)
+    n = len(suffixes)
+    r_len, l_len, lcp = np.array(suffixes, np.int64), np.array([len(x) for x in lefts], np.int64), np.array(shared, np.int64)
+    order, left_lcp = _shared_left(lefts)
     hits = np.zeros((n, _SPAN + 1), bool)
-    hr = (_MIX[right[:, :GRAM]] * _RIGHT[:GRAM]).sum(axis=1, dtype=np.uint64)  # of the first LENGTH - l bytes, from l = _SPAN down
-    hl = np.zeros(n, np.uint64)
-    for j in range(_SPAN):
-        hl += _MIX[left[:, j]] * _LEFT[j]
+    lc = np.empty(n, np.int64)
     for l in range(_SPAN, -1, -1):
         fits = np.flatnonzero((l_len >= l) & (r_len >= LENGTH - l))
-        if len(fits) > 1:
-            h = hr[fits] * _U(0xD6E8FEB86659FD93) + (hl[fits] ^ group[fits]) * _U(0xA0761D6478BD642F)
-            order = np.argsort(h)
-            s = h[order]
-            same = s[1:] == s[:-1]
-            twice = np.zeros(len(s), bool)
-            twice[1:] |= same
-            twice[:-1] |= same
-            hits[fits[order[twice]], l] = True
-        if l:
-            hr += _MIX[right[:, LENGTH - l]] * _RIGHT[LENGTH - l]
-            hl -= _MIX[left[:, l - 1]] * _LEFT[l - 1]
-    mask = np.zeros((n, _SPAN + 3), np.int8)
+        if len(fits) < 2:
+            continue
+        lc[order] = np.cumsum(left_lcp < l) if l else 0
+        window = (np.cumsum(lcp < LENGTH - l) * (n + 1) + lc)[fits]
+        by = np.argsort(window, kind="stable")
+        same = window[by[1:]] == window[by[:-1]]
+        twice = np.zeros(len(fits), bool)
+        twice[by[1:]] |= same
+        twice[by[:-1]] |= same
+        hits[fits[twice], l] = True
+    return hits
+
+
+def runs_of(hits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first l, l after the last) of the runs of hits in each row."""
+    mask = np.zeros((len(hits), _SPAN + 3), np.int8)
     mask[:, 1:-1] = hits
     edge = np.diff(mask, axis=1)
     rows, first = np.nonzero(edge == 1)
     _, after = np.nonzero(edge == -1)
-    keys, places = np.array([m[3] for m in members], np.int64), np.array([m[4] for m in members], np.int64)
-    return list(zip(keys[rows].tolist(), (places[rows] - after + 1).tolist(), (places[rows] - first + LENGTH).tolist()))
+    return rows, first, after
 
 
-_ANCHOR = np.dtype([("gram", "<u8"), ("around", "<u8"), ("key", "<i8"), ("place", "<i8"), ("right", "<i8")])
+_ANCHOR = np.dtype([("gram", "<u8"), ("key", "<i8"), ("place", "<i8"), ("size", "<i8")])
 
 
 def _bucket_rows(values: np.ndarray, bits: int):
@@ -235,9 +245,7 @@ def _find_anchors(bits: int):
                 at, grams = anchors(text)
                 if len(at):
                     x = np.empty(len(at), _ANCHOR)
-                    x["gram"], x["key"], x["place"], x["right"] = grams, key, at, np.minimum(LENGTH, len(text) - at)
-                    digest = xxhash.xxh3_64_intdigest
-                    x["around"] = np.array([digest(text[max(0, p - _SPAN) : p + LENGTH], min(p, _SPAN)) for p in at.tolist()], np.uint64)
+                    x["gram"], x["key"], x["place"], x["size"] = grams, key, at, len(text)
                     made.append(x)
             if made:
                 rows = _bucket_rows(np.concatenate(made), bits)
@@ -247,21 +255,20 @@ def _find_anchors(bits: int):
 
 
 def _meet_anchors(group: pa.Table) -> pa.Table:
-    """Of the anchors of a bucket: ranges (kind 0) whose neighbourhood is repeated, and edges (kind 1; stop is the gram's hash)."""
+    """Of the anchors of a bucket whose gram's hash occurs again: one row of each place, kind 1 (stop is the hash); rows of equal
+    keys are equal throughout, so a place that occurs twice is repeated with all around it, kind 0."""
     common.lean()
     x = np.concatenate([np.frombuffer(v, _ANCHOR) for v in group.column("anchors").to_pylist()])
-    x = x[np.lexsort((x["around"], x["gram"]))]
+    x = x[np.lexsort((x["place"], x["key"], x["gram"]))]
     new_gram = np.concatenate([[True], x["gram"][1:] != x["gram"][:-1]])
-    new_class = new_gram | np.concatenate([[True], x["around"][1:] != x["around"][:-1]])
-    gram_no, class_no = np.cumsum(new_gram) - 1, np.cumsum(new_class) - 1
-    class_size = np.bincount(class_no)
-    classes = np.bincount(gram_no[new_class])
-    whole = class_size[class_no] > 1
-    ranges = x[whole]
-    start, stop = np.maximum(ranges["place"] - _SPAN, 0), ranges["place"] + ranges["right"]
+    new_place = new_gram | np.concatenate([[True], (x["key"][1:] != x["key"][:-1]) | (x["place"][1:] != x["place"][:-1])])
+    gram_no, place_no = np.cumsum(new_gram) - 1, np.cumsum(new_place) - 1
+    again = np.bincount(gram_no)[gram_no] > 1
+    copies = x[new_place & (np.bincount(place_no)[place_no] > 1)]
+    edge = x[new_place & again]
+    start, stop = np.maximum(copies["place"] - _SPAN, 0), np.minimum(copies["place"] + LENGTH, copies["size"])
     long = stop - start >= LENGTH
-    edge = x[new_class & (classes[gram_no] > 1)]  # one of each class; a class of several shows the others what it holds
-    cols = [np.concatenate([a, b]) for a, b in ((ranges["key"][long], edge["key"]), (np.zeros(long.sum(), np.int64), np.ones(len(edge), np.int64)), (start[long], edge["place"]), (stop[long], edge["gram"].view(np.int64)))]
+    cols = [np.concatenate([a, b]) for a, b in ((copies["key"][long], edge["key"]), (np.zeros(long.sum(), np.int64), np.ones(len(edge), np.int64)), (start[long], edge["place"]), (stop[long], edge["gram"].view(np.int64)))]
     return pa.table({"key": cols[0], "kind": cols[1], "start": cols[2], "stop": cols[3]})
 
 
@@ -292,19 +299,42 @@ def _sort_suffixes(bits: int):
     return run
 
 
+def _ranges(members: dict) -> list[np.ndarray]:
+    """[keys, starts, stops] of the repeated ranges around the members of whole groups: (suffix number, left side) -> [size,
+    shared prefix, keys, places] in merged order."""
+    rows = list(members.values())
+    lefts = [left for _, left in members]
+    hits = repeated([r[0] for r in rows], [r[1] for r in rows], lefts)
+    for i, r in enumerate(rows):
+        if len(r[2]) > 1:  # the same bytes on both sides at several places
+            hits[i, max(0, LENGTH - r[0]) : len(lefts[i]) + 1] = True
+    row, first, after = runs_of(hits)
+    keys = [np.array(rows[i][2], np.int64) for i in row.tolist()]
+    places = [np.array(rows[i][3], np.int64) for i in row.tolist()]
+    return [np.concatenate(c) if row.size else np.zeros(0, np.int64) for c in (keys, [p - int(z) + 1 for p, z in zip(places, after)], [p - int(f) + LENGTH for p, f in zip(places, first)])]
+
+
 def _merge_suffixes(group: pa.Table) -> pa.Table:
     common.lean()
-    out, members, number = [], [], 0
-    for suffix, shared, (before, key, place) in PrefixLoserTree([decode_run(r) for r in group.column("run").to_pylist()]):
-        if shared < GRAM:  # another gram: a new group
+    out, members, number, last = [], {}, 0, b""
+    for suffix, shared, (left, key, place) in PrefixLoserTree([decode_run(r) for r in group.column("run").to_pylist()]):
+        if not (shared == len(suffix) == len(last)):  # another suffix
             number += 1
-            if len(members) >= 2_000:
-                out += repeated(members)
-                members = []
-        members.append((number, suffix, before, key, place))
+            if shared < GRAM and len(members) >= 2_000:  # and another gram: no window of it is here
+                out.append(_ranges(members))
+                members = {}
+            common_bytes = shared
+        else:
+            common_bytes = len(suffix)
+        last = suffix
+        if (seen := members.get((number, left))) is not None:
+            seen[2].append(key)
+            seen[3].append(place)
+        else:
+            members[number, left] = [len(suffix), common_bytes, [key], [place]]
     if members:
-        out += repeated(members)
-    cols = [np.array(c, np.int64) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
+        out.append(_ranges(members))
+    cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
     return pa.table({"key": cols[0], "start": cols[1], "stop": cols[2]})
 
 
@@ -342,7 +372,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = met.where("kind = 1").select("key", F.col("start").alias("place"), F.col("stop").alias("gram"))
     n = edges.count()
     lists = edges.distinct().groupBy("key").agg(F.collect_list(F.struct("place", "gram")).alias("at")).select(F.col("key").alias("k"), "at.place", "at.gram")
-    # of rows that are equal throughout, one shows its suffixes: their other copies are in ``whole``
+    # of rows that are equal throughout, one shows its suffixes: their copies' ranges are in ``whole``
     texts = rows.select("key", "text").join(lists, F.col("key") == F.col("k")).select("key", "text", "place", "gram")
     common.small_batches(spark)
     runs = texts.mapInArrow(_sort_suffixes(_bits(n, SUFFIXES)), "bucket long, run binary")
