@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import gc
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -65,8 +66,10 @@ def unstash(df: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Shuffle files go when their plans are collected as garbage, so collect it between the steps of a long job."""
+    """Shuffle files go when their plans are collected as garbage, so collect it between the steps of a long job. Python tells
+    the JVM of its garbage a moment later."""
     gc.collect()
+    time.sleep(0.4)
     spark.sparkContext._jvm.System.gc()
 
 
