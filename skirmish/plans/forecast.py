@@ -55,11 +55,6 @@ def r05(spark, sf):
     return _one(R.rate(labelled_rows(spark, sf), [{"name": "B5", "k": 24, "rho": 0.75}]))
 
 
-@query("r04_decay_elo", "series")
-def r04(spark, sf):
-    return _one(R.rate(labelled_rows(spark, sf), [{"name": "B4", "k": 24, "half": 180 * 24.0}]))
-
-
 @query("r01_coin_flip", "series", f"WITH {ROWS} SELECT series_id, 0.5::DOUBLE AS p FROM rows")
 def r01(spark, sf):
     return labelled_rows(spark, sf).select("series_id", F.lit(0.5).alias("p"))
@@ -77,23 +72,6 @@ def r02(spark, sf):
     return R.smoothed_win_rates(labelled_rows(spark, sf))
 
 
-@query("r07_game_elo", "games")
-def r07(spark, sf):
-    g = A.games(spark, sf).where("nation_a <> nation_b").select("series_id", "t", "game_number", F.col("nation_a").cast("long").alias("a"), F.col("nation_b").cast("long").alias("b"), F.when(F.col("winner").isNotNull(), (F.col("winner") == "a").cast("int")).alias("y"))
-    return R.rate_games(g, [{"name": "G1", "k": 16, "series_aware": False}, {"name": "G3", "k": 16, "series_aware": True}]).withColumn("p", F.round("p", 6))
-
-
-GRID = [{"name": f"k{k}_r{r}", "k": k, "rho": r / 100} for k in (16, 24, 32, 48) for r in (50, 75, 100)]
-
-
-@query("m08_config_selection", "series")
-def m08(spark, sf):
-    """Nested selection: all configurations run once; each season takes the best one on what came before it."""
-    rows = labelled_rows(spark, sf)
-    pred = R.rate(rows, GRID).join(rows.select("series_id", "t", "season", "y"), "series_id")
-    return E.select_configs(pred, B.season_order(A.series(spark, sf)).where("ordinal > 2"))
-
-
 def win_predictions(spark, sf):
     rows = labelled_rows(spark, sf)
     return R.smoothed_win_rates(rows).select("series_id", "p").join(rows.select("series_id", "season", "t", "y"), "series_id")
@@ -243,26 +221,11 @@ def t07(spark, sf):
     return T.champions(T.double_elimination(spark, 4000, RATINGS))
 
 
-@query("t12_simulation_invariants", "", "SELECT TRUE AS champion_ok, TRUE AS two_finalists, TRUE AS seven_lost")
-def t12(spark, sf):
-    return T.sanity(T.double_elimination(spark, 4000, RATINGS))
-
-
 @query("t14_convergence", "", f"WITH s AS ({_bracket_sql(4000)}) SELECT w14 AS team, round(count(*) FILTER (sim < 1000) / 1000.0, 6) AS p_1000, round(count(*) FILTER (sim < 2000) / 2000.0, 6) AS p_2000, round(count(*) / 4000.0, 6) AS p_4000 FROM s GROUP BY 1")
 def t14(spark, sf):
     return T.convergence(T.double_elimination(spark, 4000, RATINGS), [1000, 2000, 4000])
 
 
-@query("t09_round_robin_ranks")
-def t09(spark, sf):
-    return T.rank_distribution(T.round_robin(spark, 4000, RATINGS[:6]))
-
-
-@query("t04_tie_audit")
-def t04(spark, sf):
-    return T.tie_audit(T.round_robin(spark, 4000, RATINGS[:6]))
-
-
 @query("t19_pairwise", "", f"""
 WITH r AS (SELECT 'T' || CAST(i AS VARCHAR) AS team, ([{', '.join(map(str, RATINGS))}]::DOUBLE[])[i + 1] AS rating FROM range(8) q(i)), x AS (SELECT a.team AS a, b.team AS b, 1 / (1 + pow(10.0, (b.rating - a.rating) / 400.0)) AS p FROM r a JOIN r b ON a.team <> b.team)
 SELECT a, b, round(p, 6) AS p_game, round(pow(p, 3) * (1 + 3 * (1 - p) + 6 * pow(1 - p, 2)), 6) AS p_bo5, round(pow(p, 4) * (1 + 4 * (1 - p) + 10 * pow(1 - p, 2) + 20 * pow(1 - p, 3)), 6) AS p_bo7 FROM x""")
