@@ -77,7 +77,8 @@ class Model:
         if not len(lens):
             return np.zeros((0, len(self.langs)), np.float32), lens
         score = np.add.reduceat(self.table[h], starts, axis=0)
-        if max(flat) >= _NON_LATIN:
+        # where all letters are Latin and all languages are written so, nothing can be out
+        if max(flat) >= _NON_LATIN or not self.written[:, SCRIPT_NAMES.index("latin")].all():
             counts = _scripts(flat, starts, lens)
             fits = counts @ self.written.T.astype(np.int32) > 0
             some = fits.any(axis=1)
