@@ -12,8 +12,6 @@ from . import common
 
 #: Labelled rows of each class that the classifier is fitted on, at most: those with the smallest hash of their id.
 FIT_ROWS = 3000
-#: Of a labelled row's text, a window of so many characters at a place given by its id's hash is used for fitting.
-FIT_CHARS = 6000
 #: Of these rows, those with hash mod 3 = 0 calibrate the score; the others make the dictionaries.
 DICTIONARY = 112_640
 CHUNK = 1024
@@ -76,7 +74,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = FIT_ROWS) -> Model:
-    """Fits on ``rows`` labelled rows of each class at most, on the driver (12 MB of text or so at the default bounds).
+    """Fits on ``rows`` labelled rows of each class at most, on the driver, with their whole texts.
 
     Labels other than 0 and 1, null ids and null texts don't count. Without rows of both classes the model scores the share
     of good labels (0.5 without any).
@@ -84,10 +82,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__good")).where("__id is not null and __good in (0, 1)")
     pick = lambda k: known.where(F.col("__good") == k).orderBy(F.xxhash64("__id"), "__id").limit(rows)
     ids = pick(0).unionAll(pick(1)).distinct()
-    start = F.pmod(F.xxhash64("__id"), F.greatest(F.length(text_col) - FIT_CHARS, F.lit(0)) + 1) + 1
     part = docs.join(F.broadcast(ids), F.col(id_col) == F.col("__id")).where(F.col(text_col).isNotNull())  # bounded by 2 x ``rows``
-    got = part.select("__id", "__good", F.col(text_col).substr(start.cast("int"), F.lit(FIT_CHARS)).alias("text"), F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(3)).alias("part")).toArrow().sort_by([("__id", "ascending"), ("text", "ascending")])
-    good, part_no, text = (np.array(got.column(c).to_pylist()) for c in ("__good", "part", "text"))
+    got = part.select("__id", "__good", F.col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(3)).alias("part")).toArrow().sort_by([("__id", "ascending"), ("text", "ascending")])
+    good, part_no = (np.array(got.column(c).to_pylist()) for c in ("__good", "part"))
+    text = np.array([*got.column("text").to_pylist(), None], object)[:-1]
     if not len(good) or good.min() == good.max():
         return Model(b"", b"", (0.0, 0.0), float(good.mean()) if len(good) else 0.5)
     made = {}
