@@ -225,7 +225,7 @@ def runs_of(hits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows, first, after
 
 
-_ANCHOR = np.dtype([("gram", "<u8"), ("key", "<i8"), ("place", "<i8"), ("size", "<i8")])
+_ANCHOR = np.dtype([("gram", "<u8"), ("key", "<i8"), ("place", "<i8")])
 
 
 def _bucket_rows(values: np.ndarray, bits: int):
@@ -245,7 +245,7 @@ def _find_anchors(bits: int):
                 at, grams = anchors(text)
                 if len(at):
                     x = np.empty(len(at), _ANCHOR)
-                    x["gram"], x["key"], x["place"], x["size"] = grams, key, at, len(text)
+                    x["gram"], x["key"], x["place"] = grams, key, at
                     made.append(x)
             if made:
                 rows = _bucket_rows(np.concatenate(made), bits)
@@ -266,9 +266,8 @@ def _meet_anchors(group: pa.Table) -> pa.Table:
     again = np.bincount(gram_no)[gram_no] > 1
     copies = x[new_place & (np.bincount(place_no)[place_no] > 1)]
     edge = x[new_place & again]
-    start, stop = np.maximum(copies["place"] - _SPAN, 0), np.minimum(copies["place"] + LENGTH, copies["size"])
-    long = stop - start >= LENGTH
-    cols = [np.concatenate([a, b]) for a, b in ((copies["key"][long], edge["key"]), (np.zeros(long.sum(), np.int64), np.ones(len(edge), np.int64)), (start[long], edge["place"]), (stop[long], edge["gram"].view(np.int64)))]
+    start, stop = np.maximum(copies["place"] - _SPAN, 0), copies["place"] + LENGTH  # may lie behind the text's end
+    cols = [np.concatenate([a, b]) for a, b in ((copies["key"], edge["key"]), (np.zeros(len(copies), np.int64), np.ones(len(edge), np.int64)), (start, edge["place"]), (stop, edge["gram"].view(np.int64)))]
     return pa.table({"key": cols[0], "kind": cols[1], "start": cols[2], "stop": cols[3]})
 
 
@@ -360,7 +359,7 @@ def _bits(n: int, most: int) -> int:
 
 
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, start, stop): byte ranges of the rows (by ``_keyed``) whose union is every byte of a LENGTH-byte string that also starts elsewhere."""
+    """(key, start, stop): byte ranges of the rows (by ``_keyed``), stops to be cut at the text's end, whose union is every byte of a LENGTH-byte string that also starts elsewhere."""
     spark = docs.sparkSession
     common.small_batches(spark)
     rows = _keyed(docs, id_col, text_col)
@@ -401,7 +400,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for b in batches:
             out = []
             for text, starts, stops in zip(common.texts(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                spans = unite(list(zip(starts or [], stops or [])))
+                spans = unite([(a, min(z, len(text))) for a, z in zip(starts or [], stops or [])])
                 cuts = [0, *(x for s in spans for x in s), len(text)]
                 kept = b"".join(text[a:z] for a, z in zip(cuts[::2], cuts[1::2]))
                 out.append((len(text), len(text) - len(kept), len(spans), kept, [{"start": a, "stop": z} for a, z in spans]))
