@@ -59,7 +59,7 @@ def apply_weights(rows: DataFrame, weights: DataFrame, key: str, cols: list[str]
 def ladder(rows: DataFrame, folds: DataFrame, groups: dict[str, list[str]], label: str, strength: float = 1.0, steps: int = 8) -> DataFrame:
     """(model, fold, series_id, y, p): every feature group fitted on the seasons before each fold, predicting the fold's own."""
     out = None
-    all_rows = expand_folds(rows, folds)
+    all_rows = expand_folds(rows, folds).persist()  # every Newton step reads it; lost blocks are computed again
     for model, cols in groups.items():
         w = grouped_logistic(all_rows.where("train"), "fold", cols, label, strength, steps)
         p = apply_weights(all_rows.where("not train"), w, "fold", cols).select(F.lit(model).alias("model"), "fold", "series_id", F.col(label).alias("y"), "p")

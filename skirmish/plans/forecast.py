@@ -122,11 +122,6 @@ def m14(spark, sf):
     return E.block_bootstrap(win_predictions(spark, sf), 500)
 
 
-@query("m05_recalibration", "series")
-def m05(spark, sf):
-    return E.recalibration(win_predictions(spark, sf), "season")
-
-
 @query("m18_isotonic", "series")
 def m18(spark, sf):
     return E.isotonic_by(win_predictions(spark, sf), "season")
@@ -163,15 +158,6 @@ def l01(spark, sf):
     return s.select("series_id", F.round((x - mu) / sd, 6).alias("z"))
 
 
-@query("l02_logistic_l2", "series")
-def l02(spark, sf):
-    """Weights of an L2 logistic model of y on the two prior win rates."""
-    rows = labelled_rows(spark, sf)
-    f = R.smoothed_win_rates(rows).join(rows.select("series_id", "y"), "series_id")
-    w = E.logistic_l2(f, ["rate_a", "rate_b"], "y", 1.0)
-    return spark.createDataFrame([(n, round(float(v), 6)) for n, v in zip(["intercept", "rate_a", "rate_b"], w)], "term string, weight double")
-
-
 @query("n01_series_probability", "", """
 WITH p AS (SELECT CAST(i AS INTEGER) AS i, i / 100.0 AS p FROM range(1, 100) r(i))
 SELECT i, round(p * p * (3 - 2 * p), 6) AS bo3, round(pow(p, 3) * (1 + 3 * (1 - p) + 6 * pow(1 - p, 2)), 6) AS bo5, round(pow(p, 4) * (1 + 4 * (1 - p) + 10 * pow(1 - p, 2) + 20 * pow(1 - p, 3)), 6) AS bo7 FROM p""")

@@ -24,16 +24,6 @@ def s03(spark, sf):
     return scans.profile(A.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"))
 
 
-@query("s05_field_evidence", "", """
-WITH k(concept, word) AS (VALUES ('key', 'key'), ('money', 'price'), ('money', 'acctbal'), ('time', 'date'), ('time', 'ts'), ('text', 'name')), c(col) AS (VALUES ('o_orderkey'), ('o_totalprice'), ('o_orderdate'), ('c_name'), ('c_acctbal'), ('l_shipdate'), ('event_ts'))
-SELECT concept, count(DISTINCT col) AS n, string_agg(DISTINCT col, '|' ORDER BY col) AS examples FROM k JOIN c ON contains(col, word) GROUP BY concept""")
-def s05(spark, sf):
-    k = spark.createDataFrame([("key", "key"), ("money", "price"), ("money", "acctbal"), ("time", "date"), ("time", "ts"), ("text", "name")], "concept string, word string")
-    c = spark.createDataFrame([(x,) for x in ("o_orderkey", "o_totalprice", "o_orderdate", "c_name", "c_acctbal", "l_shipdate", "event_ts")], "col string")
-    hit = c.join(F.broadcast(k), F.contains("col", F.col("word")))
-    return hit.groupBy("concept").agg(F.countDistinct("col").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("col")), 1, 5), "|").alias("examples"))
-
-
 @query("s06_ingest", "", "SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS id, c_name AS name FROM customer UNION SELECT CAST(s_suppkey AS VARCHAR), s_name FROM supplier")
 def s06(spark, sf):
     return scans.ingest([A.table(spark, sf, "customer"), A.table(spark, sf, "supplier")], {"id": ["C_CUSTKEY", "s_suppkey"], "name": ["c_name", "S_NAME"]})
