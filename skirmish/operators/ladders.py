@@ -56,7 +56,7 @@ def apply_weights(rows: DataFrame, weights: DataFrame, key: str, cols: list[str]
     return rows.join(F.broadcast(weights), key).withColumn("p", C.sigmoid(z)).drop(*[f"w{i}" for i in range(len(cols) + 1)])
 
 
-def ladder(rows: DataFrame, folds: DataFrame, groups: dict[str, list[str]], label: str, strength: float = 1.0, steps: int = 8) -> DataFrame:
+def ladder(rows: DataFrame, folds: DataFrame, groups: dict[str, list[str]], label: str, strength: float = 1.0, steps: int = 6) -> DataFrame:
     """(model, fold, series_id, y, p): every feature group fitted on the seasons before each fold, predicting the fold's own."""
     out = None
     all_rows = expand_folds(rows, folds).persist()  # every Newton step reads it; lost blocks are computed again
