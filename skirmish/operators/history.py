@@ -29,6 +29,13 @@ def prior_sums(df: DataFrame, keys: list[str], time: str, sums: dict[str, Column
     return own.join(base, [*keys, "__b"]).select(*keys, time, *[(F.col(n) + F.col(f"__{n}")).alias(n) for n in sums])
 
 
+def prior_rates(df: DataFrame, keys: list[str], time: str, won: str, name: str) -> DataFrame:
+    """Adds prior games, wins, decided games and win rate (null without any) by ``keys``, for keys of few rows each."""
+    w = prior(keys, time)
+    wins, decided = F.count_if(F.col(won)).over(w), F.count(won).over(w)
+    return df.withColumn(f"{name}_games", F.count("*").over(w)).withColumn(f"{name}_wins", wins).withColumn(f"{name}_rate", F.when(decided > 0, F.round(wins / decided, 6)))
+
+
 STATE_KEYS = {"pair": ["player", "hero"], "player": ["player"], "hero": ["hero"], "team_hero": ["team", "hero"]}
 
 
