@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, chunks, langid, lines, mixing, packing, quality, simhash, suffixes, warc
+from . import audio, chunks, codes, importance, langid, lines, mixing, packing, quality, simhash, suffixes, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_chunks": chunks.op8_chunks,
     "op9_simhash": simhash.op9_simhash,
     "op10_langid": langid.op10_langid,
+    "op12_importance": importance.op12_importance,
+    "op13_codes": codes.op13_codes,
 }
 
-ORACLES: dict[str, str] = {"op7_mixing": mixing.OP7_SQL}
+ORACLES: dict[str, str] = {"op7_mixing": mixing.OP7_SQL, "op12_importance": importance.OP12_SQL, "op13_codes": codes.OP13_SQL}
