@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, chunks, codes, importance, langid, lines, mixing, packing, quality, simhash, suffixes, warc
+from . import audio, chunks, codes, importance, langid, lines, mixing, neighbours, packing, quality, simhash, suffixes, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chunks": chunks.op8_chunks,
     "op9_simhash": simhash.op9_simhash,
     "op10_langid": langid.op10_langid,
+    "op11_neighbours": neighbours.op11_neighbours,
     "op12_importance": importance.op12_importance,
     "op13_codes": codes.op13_codes,
 }
