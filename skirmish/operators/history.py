@@ -14,26 +14,26 @@ def prior(keys: list[str], time: str):
     return Window.partitionBy(*keys).orderBy(time).rangeBetween(Window.unboundedPreceding, -1)
 
 
-def prior_sums(df: DataFrame, keys: list[str], time: str, sums: dict[str, Column], width: int) -> DataFrame:
-    """(keys, time, names): sums over all rows of the keys with a smaller time, for each time that occurs.
+def prior_sums(df: DataFrame, keys: list[str], time: str, sums: dict[str, Column], width: int, source: DataFrame | None = None) -> DataFrame:
+    """Adds to every row the sums of ``sums`` (whole-number columns) over all rows of its keys with a smaller time.
 
-    Rows are aggregated per time first. Times are cut into buckets of ``width``; a bucket's own prefix is added to the sum of the
-    buckets before it, so that a key with a third of all rows is spread over its buckets.
+    Times are cut into buckets of ``width``. A window over (keys, bucket) has the rows before it in its own bucket; what earlier
+    buckets hold is joined from a table of a row per key and bucket, whose partitioning the window already has. So a key with a
+    third of all rows is spread over its buckets, and rows are shuffled once. Keys and times are not null. ``source`` has the same rows before other
+    sums were added, so that the bucket table does not compute those again.
     """
-    per = df.groupBy(*keys, time).agg(*[c.alias(n) for n, c in sums.items()]).withColumn("__b", F.floor(F.col(time) / width))
+    rows = df.withColumn("__b", F.floor(F.col(time) / width))
     inner = Window.partitionBy(*keys, "__b").orderBy(time).rangeBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy(*keys).orderBy("__b").rangeBetween(Window.unboundedPreceding, -1)
-    totals = per.groupBy(*keys, "__b").agg(*[F.sum(n).alias(f"__{n}") for n in sums])
+    totals = (df if source is None else source).groupBy(*keys, F.floor(F.col(time) / width).alias("__b")).agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
     base = totals.select(*keys, "__b", *[F.coalesce(F.sum(f"__{n}").over(outer), F.lit(0)).alias(f"__{n}") for n in sums])
-    own = per.select(*keys, time, "__b", *[F.coalesce(F.sum(n).over(inner), F.lit(0)).alias(n) for n in sums])
-    return own.join(base, [*keys, "__b"]).select(*keys, time, *[(F.col(n) + F.col(f"__{n}")).alias(n) for n in sums])
+    own = rows.withColumns({n: F.coalesce(F.sum(c).over(inner), F.lit(0)) for n, c in sums.items()})
+    return own.join(base, [*keys, "__b"]).withColumns({n: F.col(n) + F.col(f"__{n}") for n in sums}).drop("__b", *[f"__{n}" for n in sums])
 
 
-def prior_rates(df: DataFrame, keys: list[str], time: str, won: str, name: str) -> DataFrame:
-    """Adds prior games, wins, decided games and win rate (null without any) by ``keys``, for keys of few rows each."""
-    w = prior(keys, time)
-    wins, decided = F.count_if(F.col(won)).over(w), F.count(won).over(w)
-    return df.withColumn(f"{name}_games", F.count("*").over(w)).withColumn(f"{name}_wins", wins).withColumn(f"{name}_rate", F.when(decided > 0, F.round(wins / decided, 6)))
+def _one(condition: Column) -> Column:
+    """1 where the condition holds, else 0."""
+    return F.when(condition, 1).otherwise(0).cast("long")
 
 
 STATE_KEYS = {"pair": ["player", "hero"], "player": ["player"], "hero": ["hero"], "team_hero": ["team", "hero"]}
@@ -43,11 +43,11 @@ def player_hero_state(appearances: DataFrame) -> DataFrame:
     """Per appearance: prior games, wins and win rate (null without a decided game) of the player, the hero, the pair, and the
     hero in the team, at game level (series time, then game)."""
     a = appearances.withColumn("clock", F.col("t") * 1000 + F.col("game_number"))
-    won = {"g": F.count("*"), "w": F.count_if("won"), "d": F.count("won")}
+    base = a
     for name, keys in STATE_KEYS.items():
-        state = prior_sums(a, keys, "clock", won, 24 * 90 * 1000)
-        rate = F.when(F.col("d") > 0, rounded(F.col("w") / F.col("d")))
-        a = a.join(state.select(*keys, "clock", F.col("g").alias(f"{name}_games"), F.col("w").alias(f"{name}_wins"), rate.alias(f"{name}_rate")), [*keys, "clock"])
+        won = {f"{name}_games": F.lit(1).cast("long"), f"{name}_wins": _one(F.col("won")), "__decided": _one(F.col("won").isNotNull())}
+        a = prior_sums(a, keys, "clock", won, 24 * 90 * 1000, base)
+        a = a.withColumn(f"{name}_rate", F.when(F.col("__decided") > 0, rounded(F.col(f"{name}_wins") / F.col("__decided")))).drop("__decided")
     return a.drop("clock")
 
 
@@ -61,13 +61,11 @@ def preseries_state(appearances: DataFrame) -> DataFrame:
 def draft_state(events: DataFrame, m: float = 10.0) -> DataFrame:
     """Per draft event: prior picks, bans and shrunk win rate of the hero, and of the hero in the team; the same game does not count."""
     pick = F.col("kind") == "P"
-    sums = {"picks": F.count_if(pick), "bans": F.count_if(F.col("kind") == "B"), "w": F.count_if(pick & F.col("won")), "d": F.count_if(pick & F.col("won").isNotNull())}
-    hero = prior_sums(events, ["hero"], "t", sums, 24 * 90)
-    team = prior_sums(events, ["team", "hero"], "t", {"w": sums["w"], "d": sums["d"]}, 24 * 90)
-    rate = rounded(C.shrunk(F.col("w"), F.col("d"), m))
-    out = events.join(hero.select("hero", "t", F.col("picks").alias("prior_picks"), F.col("bans").alias("prior_bans"), rate.alias("prior_rate")), ["hero", "t"])
-    out = out.join(team.select("team", "hero", "t", rate.alias("team_prior_rate"), (F.col("d") >= 5).alias("team_min_sample")), ["team", "hero", "t"])
-    return out.select("series_id", "seq", "hero", "kind", "prior_picks", "prior_bans", "prior_rate", "team_prior_rate", "team_min_sample")
+    w, d = _one(pick & F.col("won")), _one(pick & F.col("won").isNotNull())
+    out = prior_sums(events, ["hero"], "t", {"prior_picks": _one(pick), "prior_bans": _one(F.col("kind") == "B"), "w": w, "d": d}, 24 * 90)
+    out = prior_sums(out, ["team", "hero"], "t", {"tw": w, "td": d}, 24 * 90, events)
+    rate = lambda w, d: rounded(C.shrunk(F.col(w), F.col(d), m))
+    return out.select("series_id", "seq", "hero", "kind", "prior_picks", "prior_bans", rate("w", "d").alias("prior_rate"), rate("tw", "td").alias("team_prior_rate"), (F.col("td") >= 5).alias("team_min_sample"))
 
 
 def pair_state(appearances: DataFrame, m: float = 10.0) -> tuple[DataFrame, DataFrame]:
@@ -81,9 +79,8 @@ def pair_state(appearances: DataFrame, m: float = 10.0) -> tuple[DataFrame, Data
 
     def state(rows):
         rows = rows.withColumn("clock", F.col("t") * 1000 + F.col("game_number"))
-        s = prior_sums(rows, ["a", "b"], "clock", {"g": F.count("*"), "w": F.count_if("won"), "d": F.count("won")}, 24 * 365 * 1000)
-        s = s.select("a", "b", "clock", F.col("g").alias("prior_games"), F.col("d").alias("prior_decided"), rounded(C.shrunk(F.col("w"), F.col("d"), m)).alias("prior_rate"))
-        return rows.join(s, ["a", "b", "clock"]).drop("clock", "won")
+        s = prior_sums(rows, ["a", "b"], "clock", {"prior_games": F.lit(1).cast("long"), "w": _one(F.col("won")), "prior_decided": _one(F.col("won").isNotNull())}, 24 * 365 * 1000)
+        return s.withColumn("prior_rate", rounded(C.shrunk(F.col("w"), F.col("prior_decided"), m))).drop("clock", "won", "w")
 
     return state(pairs), state(cross)
 

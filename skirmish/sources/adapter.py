@@ -1,4 +1,5 @@
-"""Competition tables derived from the star schema: every function reads Parquet and returns a lazy DataFrame.
+"""Competition tables derived from the star schema. ``series`` and ``games``, which join and aggregate, are written once
+(``store.derived``) and read by every query; the others are lazy and add no shuffle to them.
 
 Times are whole hours since 1970 (``t``), so that strictly-before frames are integer RANGE frames. ``SQL`` holds the same
 tables as SQL common table expressions for DuckDB, written on their own.
@@ -9,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import derived
+
+#: When teams were renamed, the number of heroes, the draft's shape.
 ERA = 249_720  # hours at 1998-07-01: teams renamed then
 HEROES = 120
 #: ban or pick of the 18 events of a standard draft, and the side (0, 1) that acts
@@ -25,8 +29,21 @@ def _observed(nation, t, key):
     return F.when(nation % 5 == 0, F.concat(name, F.when(t < ERA, ".A").otherwise(".B"))).when((nation == 7) & (key % 2 == 1), F.concat(name, F.lit(".X"))).otherwise(name)
 
 
+def _derived(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    return derived(spark, name, [f"{sf_dir}/{t}.parquet" for t in ("orders", "lineitem", "customer", "supplier")], lambda: make(spark, sf_dir))
+
+
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order with lines: two teams, their scores and a status."""
+    return _derived(spark, sf_dir, "series", _series)
+
+
+def games(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Games of each series: its order lines in a total order; lines returned (R) have no known winner."""
+    return _derived(spark, sf_dir, "games", _games)
+
+
+def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
         F.min_by("l_suppkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")).alias("supp"),
         (F.coalesce(F.sum(F.when(F.col("l_linenumber") % 2 == 1, F.col("l_quantity"))), F.lit(0)).cast("int") % 4).alias("score_a"),
@@ -54,8 +71,7 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.explode(names).alias("observed_name"), F.concat(F.lit("T"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0")).alias("canonical_id"), status.alias("review_status"))
 
 
-def games(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Games of each series: its order lines in a total order; lines returned (R) have no known winner."""
+def _games(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
