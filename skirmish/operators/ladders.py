@@ -1,5 +1,6 @@
 """Supervised models over folds of seasons: features that are known before a series, fits by aggregated Newton steps, and the
-choice of a model by earlier seasons. A step of all folds and models is one aggregate; no rows are collected.
+choice of a model by earlier seasons. A step of all folds and models is one aggregate; a row of sums per
+group is collected.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.rounding import rounded
+from ..sources.store import drop, stash
 
 
 def expand_folds(rows: DataFrame, folds: DataFrame) -> DataFrame:
@@ -29,6 +32,7 @@ def grouped_logistic(rows: DataFrame, key: str, cols: list[str], label: str, str
     lam = np.diag([0.0] + [1 / strength] * (d - 1))
     base = rows.select(F.col(key).alias("__k"), *[v.alias(f"__x{i}") for i, v in enumerate(x)], F.col(label).cast("double").alias("__y"))
     x = [F.col(f"__x{i}") for i in range(d)]
+    base = stash(base, "fit")  # every step reads it
     weights: dict = {}
     for _ in range(steps):
         if weights:
@@ -47,6 +51,7 @@ def grouped_logistic(rows: DataFrame, key: str, cols: list[str], label: str, str
                     h[j, i] = h[i, j]
                     k += 1
             weights[r[0]] = w - np.linalg.solve(h + 1e-9 * np.eye(d), np.array(r[1 : d + 1]) + lam @ w)
+    drop(base)
     return spark.createDataFrame([(k, *map(float, w)) for k, w in weights.items()], f"{key} {rows.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names))
 
 
@@ -56,15 +61,18 @@ def apply_weights(rows: DataFrame, weights: DataFrame, key: str, cols: list[str]
     return rows.join(F.broadcast(weights), key).withColumn("p", C.sigmoid(z)).drop(*[f"w{i}" for i in range(len(cols) + 1)])
 
 
-def ladder(rows: DataFrame, folds: DataFrame, groups: dict[str, list[str]], label: str, strength: float = 1.0, steps: int = 6) -> DataFrame:
-    """(model, fold, series_id, y, p): every feature group fitted on the seasons before each fold, predicting the fold's own."""
-    out = None
-    all_rows = expand_folds(rows, folds).persist()  # every Newton step reads it; lost blocks are computed again
-    for model, cols in groups.items():
-        w = grouped_logistic(all_rows.where("train"), "fold", cols, label, strength, steps)
-        p = apply_weights(all_rows.where("not train"), w, "fold", cols).select(F.lit(model).alias("model"), "fold", "series_id", F.col(label).alias("y"), "p")
-        out = p if out is None else out.unionByName(p)
-    return out
+def ladder(rows: DataFrame, groups: dict[str, list[str]], label: str, strength: float = 1.0, steps: int = 6) -> DataFrame:
+    """(model, fold, series_id, y, p): every feature group fitted on the seasons before each fold, predicting the fold's own.
+
+    ``rows``: see ``expand_folds``. All models and folds are groups of one fit: a row enters each model with zeros for what the
+    model does not have, whose weights the penalty keeps at zero. So a Newton step is one job whatever the number of models.
+    """
+    cols = list(dict.fromkeys(c for own in groups.values() for c in own))
+    model = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), *[(F.col(c).cast("double") if c in own else F.lit(0.0)).alias(f"f{i}") for i, c in enumerate(cols)]) for m, own in groups.items()]))
+    names = [f"f{i}" for i in range(len(cols))]
+    flat = rows.select("fold", "series_id", "train", F.col(label).alias("y"), model.alias("m")).select(F.concat_ws("|", "m.model", F.col("fold").cast("string")).alias("key"), "fold", "series_id", "train", "y", "m.*")
+    w = grouped_logistic(flat.where("train"), "key", names, "y", strength, steps)
+    return apply_weights(flat.where("not train"), w, "key", names).select("model", "fold", "series_id", "y", "p")
 
 
 def best_before(scored: DataFrame, order: dict[str, int]) -> DataFrame:
@@ -74,4 +82,4 @@ def best_before(scored: DataFrame, order: dict[str, int]) -> DataFrame:
     w = Window.partitionBy("model").orderBy("fold").rangeBetween(Window.unboundedPreceding, -1)
     prior = scored.withColumn("mean", F.sum("loss").over(w) / F.sum("n").over(w)).withColumn("place", rank)
     pick = F.row_number().over(Window.partitionBy("fold").orderBy(F.round("mean", 10).asc_nulls_last(), "place"))
-    return prior.withColumn("r", pick).where("r = 1").select("fold", "model", F.round("mean", 6).alias("prior_loss"))
+    return prior.withColumn("r", pick).where("r = 1").select("fold", "model", rounded(F.col("mean")).alias("prior_loss"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.rounding import rounded, rounded_sql
 from ..operators import backbone as B
 from ..operators import leagues as G
 from ..operators import ratings as R
@@ -156,10 +157,15 @@ GRID = [{"name": f"B3|{k}|1.0", "k": float(k)} for k in (16, 24, 32)] + [{"name"
 
 
 def fold_scores(pred, order):
-    """(fold, config, n, ll, br): per season's ordinal, sums over all rows of earlier seasons, by prefix sums of season sums."""
-    per = pred.groupBy("config", "ordinal").agg(F.count("*").alias("c"), F.sum(C.log_loss(F.col("y"), F.col("p"))).alias("l"), F.sum((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("b"))
+    """(fold, config, n, ll, br): per season's ordinal, means over all rows of earlier seasons, by prefix sums of season sums.
+
+    A row's losses enter as whole numbers of 1e-9, so that sums do not depend on the rows' order and ties are ties.
+    """
+    whole = lambda c: F.sum(F.floor(c * 1e9 + 0.5).cast("long"))
+    per = pred.groupBy("config", "ordinal").agg(F.count("*").alias("c"), whole(C.log_loss(F.col("y"), F.col("p"))).alias("l"), whole((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("b"))
     w = Window.partitionBy("config").orderBy("ordinal").rangeBetween(Window.unboundedPreceding, -1)
-    return per.select("config", F.col("ordinal").alias("fold"), F.sum("c").over(w).alias("n"), (F.sum("l").over(w) / F.sum("c").over(w)).alias("ll"), (F.sum("b").over(w) / F.sum("c").over(w)).alias("br")).where("fold > 1")
+    mean = lambda c: F.sum(c).over(w) / (F.sum("c").over(w) * 1e9)
+    return per.select("config", F.col("ordinal").alias("fold"), F.sum("c").over(w).alias("n"), mean("l").alias("ll"), mean("b").alias("br")).where("fold > 1")
 
 
 def pick(scores, closeness):
@@ -200,8 +206,8 @@ def _grid_sql():
 
 
 BENCH = f"""{_grid_sql()}, o AS ({ORDER}), pred AS (SELECT grid.*, season, t, y, ordinal FROM grid JOIN rows USING (series_id) JOIN o USING (season)),
-per AS (SELECT config, ordinal, count(*) AS c, sum({LL}) AS l, sum((p - y) * (p - y)) AS b FROM pred GROUP BY 1, 2),
-sc AS (SELECT config, ordinal AS fold, sum(c) OVER w AS n, sum(l) OVER w / sum(c) OVER w AS ll, sum(b) OVER w / sum(c) OVER w AS br FROM per WINDOW w AS (PARTITION BY config ORDER BY ordinal RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+per AS (SELECT config, ordinal, count(*) AS c, CAST(sum(CAST(floor(({LL}) * 1e9 + 0.5) AS BIGINT)) AS BIGINT) AS l, CAST(sum(CAST(floor((p - y) * (p - y) * 1e9 + 0.5) AS BIGINT)) AS BIGINT) AS b FROM pred GROUP BY 1, 2),
+sc AS (SELECT config, ordinal AS fold, CAST(sum(c) OVER w AS BIGINT) AS n, CAST(sum(l) OVER w AS DOUBLE) / (sum(c) OVER w * 1e9::DOUBLE) AS ll, CAST(sum(b) OVER w AS DOUBLE) / (sum(c) OVER w * 1e9::DOUBLE) AS br FROM per WINDOW w AS (PARTITION BY config ORDER BY ordinal RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 ch AS (SELECT * FROM (SELECT *, split_part(config, '|', 1) AS family, row_number() OVER (PARTITION BY fold, split_part(config, '|', 1) ORDER BY round(ll, 10), round(br, 10), round(abs(ln(CAST(split_part(config, '|', 2) AS DOUBLE) / 24.0)) + CASE WHEN starts_with(config, 'B5') THEN abs(ln(CAST(split_part(config, '|', 3) AS DOUBLE) / 0.75)) ELSE 0 END, 10), config) AS r FROM sc WHERE fold > 1) WHERE r = 1),
 oos AS (SELECT fold, family, pred.config, series_id, season, t, y, p FROM pred JOIN ch ON ch.fold = pred.ordinal AND ch.config = pred.config)"""
 
@@ -211,14 +217,14 @@ def m09(spark, sf):
     return benchmark(spark, sf).select("fold", "family", "config", "series_id", "season", "y", F.round("p", 6).alias("p"))
 
 
-@query("m08_config_selection", "series", f"{BENCH} SELECT fold, family, config, n, round(ll, 6) AS score, round(br, 6) AS brier FROM ch")
+@query("m08_config_selection", "series", f"{BENCH} SELECT fold, family, config, n, {rounded_sql('ll')} AS score, {rounded_sql('br')} AS brier FROM ch")
 def m08(spark, sf):
     """Nested selection: all configurations run once; each season takes the best one on what came before it."""
     rows = labelled_rows(spark, sf)
     order = B.season_order(A.series(spark, sf)).select("season", "ordinal")
     pred = R.rate(rows, GRID).join(rows.select("series_id", "season", "y"), "series_id").join(F.broadcast(order), "season")  # a row per season
     chosen = pick(fold_scores(pred, order), closeness(F.col("config")))
-    return chosen.select("fold", "family", "config", "n", F.round("ll", 6).alias("score"), F.round("br", 6).alias("brier"))
+    return chosen.select("fold", "family", "config", "n", rounded(F.col("ll")).alias("score"), rounded(F.col("br")).alias("brier"))
 
 
 @query("m26_same_rows", "series", f"{BENCH} SELECT (SELECT count(DISTINCT n) = 1 FROM (SELECT family, count(DISTINCT series_id) AS n FROM oos GROUP BY 1)) AS same_rows, (SELECT count(*) FROM oos) AS n")

@@ -3,75 +3,82 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import backbone as B
-from ..operators import history as H
+from ..functions.rounding import rounded, rounded_sql
+from ..operators import inference as I
 from ..operators import ladders as L
 from ..operators import ratings as R
 from ..sources import adapter as A
+from . import design as D
 from .backbone import ORDER
 from .base import query
-from .forecast import LL, PRED, WIN, ROWS, labelled_rows, win_predictions
+from .fitsql import newton
+from .forecast import CLIP, LL, PRED, ROWS, WIN, labelled_rows, win_predictions
 
 #: Feature groups of the ladder, each with what the one before has.
 GROUPS = {"B6_rates": ["rate"], "B7_form": ["rate", "form"], "B8_rest": ["rate", "form", "rest"]}
 GROUPS_OUT = {"without_rate": ["form", "rest"], "without_form": ["rate", "rest"], "without_rest": ["rate", "form"]}
 
 
-def features(spark, sf):
-    """Per labelled series: differences (a - b) of the prior win rate, the last five series' wins and the log days of rest."""
-    rows = labelled_rows(spark, sf)
-    side = F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("team"), F.col("y").alias("w")), F.struct(F.lit("b").alias("side"), F.col("b").alias("team"), (1 - F.col("y")).alias("w"))))
-    s = rows.select("series_id", "t", side.alias("x")).select("series_id", "t", "x.*")
-    p = H.prior(["team"], "t")
-    n = F.row_number().over(Window.partitionBy("team").orderBy("t", "series_id", "side"))
-    s = s.withColumn("rate", C.shrunk(F.coalesce(F.sum("w").over(p), F.lit(0)), F.count("*").over(p), 10.0)).withColumn("rest", F.coalesce(F.log1p((F.col("t") - F.max("t").over(p)) / 24.0), F.lit(0.0))).withColumn("n", n)
-    s = s.withColumn("form", F.coalesce(F.sum("w").over(Window.partitionBy("team").orderBy("n").rangeBetween(-5, -1)), F.lit(0)) / 5.0)
-    diff = lambda c: (F.max(F.when(F.col("side") == "a", F.col(c))) - F.max(F.when(F.col("side") == "b", F.col(c)))).alias(c)
-    wide = s.groupBy("series_id").agg(diff("rate"), diff("form"), diff("rest"))
-    order = B.season_order(A.series(spark, sf)).select("season", "ordinal")
-    return rows.join(wide, "series_id").join(F.broadcast(order), "season")  # a row per season
+def ladder(spark, sf, groups):
+    return L.ladder(D.folded(spark, sf), groups, "y")
 
 
-def folds(spark, sf):
-    return B.season_order(A.series(spark, sf)).where("ordinal > 4").select(F.col("ordinal").cast("int").alias("fold"))
+def scored(p):
+    """Sums of loss as whole numbers of 1e-9."""
+    return p.groupBy("model", "fold").agg(F.count("*").alias("n"), F.sum(F.floor(C.log_loss(F.col("y"), F.col("p")) * 1e9 + 0.5).cast("long")).alias("loss"))
 
 
-def ladder(spark, sf, groups):
-    f = features(spark, sf).withColumn("ordinal", F.col("ordinal").cast("int"))
-    return L.ladder(f, folds(spark, sf), groups, "y")
+def _ladder_sql(models: dict[str, list[str]]) -> str:
+    """CTEs ``lp`` (model, fold, series_id, y, p) and ``ls`` (model, fold, n, loss) of every model's Newton fits."""
+    fits = [newton("ltrain", "fold", ["1.0", *c], [0.0] + [1.0] * len(c), 6, name=f"m{i}") for i, c in enumerate(models.values())]
+    score = [f"SELECT '{m}' AS model, fold, series_id, y, 1 / (1 + exp(-(w0 + {' + '.join(f'w{k + 1} * {f}' for k, f in enumerate(c))}))) AS p FROM folded JOIN m{i} USING (fold) WHERE NOT train" for i, (m, c) in enumerate(models.items())]
+    return f"""WITH RECURSIVE {D.DESIGN}, ltrain AS MATERIALIZED (SELECT * FROM folded WHERE train), {', '.join(fits)}, lp AS MATERIALIZED ({' UNION ALL '.join(score)}),
+ls AS (SELECT model, fold, count(*) AS n, CAST(sum(CAST(floor(({LL}) * 1e9 + 0.5) AS BIGINT)) AS BIGINT) AS loss FROM lp GROUP BY 1, 2)"""
 
 
-def scored(p):
-    return p.groupBy("model", "fold").agg(F.count("*").alias("n"), F.sum(C.log_loss(F.col("y"), F.col("p"))).alias("loss"))
+_MEAN = rounded_sql("CAST(loss AS DOUBLE) / n / 1e9")
+
+
+def _mean():
+    return rounded(F.col("loss") / F.col("n") / 1e9)
 
 
-@query("l04_ladder")
+@query("l04_ladder", "series", f"{_ladder_sql(GROUPS)} SELECT model, fold, n, {_MEAN} AS log_loss FROM ls")
 def l04(spark, sf):
     """Log loss out of sample per model and fold."""
-    return scored(ladder(spark, sf, GROUPS)).select("model", "fold", "n", F.round(F.col("loss") / F.col("n"), 6).alias("log_loss"))
+    return scored(ladder(spark, sf, GROUPS)).select("model", "fold", "n", _mean().alias("log_loss"))
 
 
-@query("l04_leave_one_group_out")
+_OUT = {"all": GROUPS["B8_rest"], **GROUPS_OUT}
+
+
+@query("l04_leave_one_group_out", "series", f"{_ladder_sql(_OUT)} SELECT model, fold, n, {_MEAN} AS log_loss FROM ls")
 def l04b(spark, sf):
-    return scored(ladder(spark, sf, {"all": GROUPS["B8_rest"], **GROUPS_OUT})).select("model", "fold", "n", F.round(F.col("loss") / F.col("n"), 6).alias("log_loss"))
+    return scored(ladder(spark, sf, _OUT)).select("model", "fold", "n", _mean().alias("log_loss"))
+
 
+_TWO = {k: GROUPS[k] for k in ("B6_rates", "B8_rest")}
 
-@query("l05_logit_average")
+
+@query("l05_logit_average", "series", f"""
+{_ladder_sql(_TWO)}, av AS (SELECT fold, series_id, max(y) AS y, avg(ln({CLIP} / (1 - {CLIP}))) AS z FROM lp GROUP BY 1, 2), a AS (SELECT fold, y, 1 / (1 + exp(-z)) AS p FROM av)
+SELECT fold, count(*) AS n, {rounded_sql(f"CAST(sum(CAST(floor(({LL}) * 1e9 + 0.5) AS BIGINT)) AS DOUBLE) / count(*) / 1e9")} AS log_loss FROM a GROUP BY fold""")
 def l05(spark, sf):
     """Equal mean of two models' logits."""
-    p = ladder(spark, sf, {k: GROUPS[k] for k in ("B6_rates", "B8_rest")})
+    p = ladder(spark, sf, _TWO)
     x = p.groupBy("fold", "series_id").agg(F.max("y").alias("y"), C.sigmoid(F.avg(C.logit(F.col("p")))).alias("p"))
-    return x.groupBy("fold").agg(F.count("*").alias("n"), F.round(F.avg(C.log_loss(F.col("y"), F.col("p"))), 6).alias("log_loss"))
+    return scored(x.withColumn("model", F.lit("X3"))).select("fold", "n", _mean().alias("log_loss"))
 
 
-@query("l07_inner_selection")
+@query("l07_inner_selection", "series", f"""
+{_ladder_sql(GROUPS)}, pr AS (SELECT *, CAST(sum(loss) OVER w AS DOUBLE) / sum(n) OVER w / 1e9 AS mean FROM ls WINDOW w AS (PARTITION BY model ORDER BY fold RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT fold, model, {rounded_sql('mean')} AS prior_loss FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY round(mean, 10) NULLS LAST, model) AS r FROM pr) WHERE r = 1""")
 def l07(spark, sf):
     """Each fold's model by its loss over earlier folds; the first takes the plainest."""
-    return L.best_before(scored(ladder(spark, sf, GROUPS)), {k: i for i, k in enumerate(GROUPS)})
+    return L.best_before(scored(ladder(spark, sf, GROUPS)).withColumn("loss", F.col("loss") / 1e9), {k: i for i, k in enumerate(GROUPS)})
 
 
 _NEWTON = """
@@ -110,37 +117,30 @@ def m05(spark, sf):
 
 
 _DRAWS = 200
+_STATS = f"count(*) AS draws, {rounded_sql('avg(m)')} AS mean, {rounded_sql('stddev_samp(m)')} AS se, {rounded_sql('quantile_cont(m, 0.025)')} AS low, {rounded_sql('quantile_cont(m, 0.975)')} AS high"
+_GAIN = f"CAST(floor((({LL}) - ln(2.0)) * 1e9 + 0.5) AS BIGINT)"
+
+
+def _gain():
+    return F.floor((C.log_loss(F.col("y"), F.col("p")) - float(np.log(2.0))) * 1e9 + 0.5).cast("long")
 
 
 @query("m15_stratified_bootstrap", "series", f"""
-WITH {PRED}, r AS (SELECT season, ({LL}) - ln(2.0) AS d, row_number() OVER (PARTITION BY season ORDER BY series_id) - 1 AS i, count(*) OVER (PARTITION BY season) AS n FROM pred),
-dr AS (SELECT draw, season, CAST(floor(CAST(('0x' || substr(md5(draw || '|' || season || '|' || i || '|1'), 1, 8)) AS BIGINT) / 4294967296.0 * n) AS BIGINT) AS j FROM range({_DRAWS}) a(draw), r),
-m AS (SELECT draw, avg(r.d) AS m FROM dr JOIN r ON r.season = dr.season AND r.i = dr.j GROUP BY draw)
-SELECT count(*) AS draws, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""")
+WITH {PRED}, bu AS (SELECT season, series_id, {_GAIN} AS s, 1000000000::BIGINT AS k FROM pred), {I.poisson_sql("bu", "series_id", "season", _DRAWS, "1")}
+SELECT {_STATS} FROM bm""")
 def m15(spark, sf):
-    """Paired bootstrap within seasons: rows are drawn by hashed uniforms inside each season."""
-    p = win_predictions(spark, sf).withColumn("d", C.log_loss(F.col("y"), F.col("p")) - float(np.log(2.0)))
-    r = p.select("season", "d", (F.row_number().over(Window.partitionBy("season").orderBy("series_id")) - 1).cast("long").alias("i"), F.count("*").over(Window.partitionBy("season")).alias("n"))
-    draws = spark.range(_DRAWS).withColumnRenamed("id", "draw")
-    picks = r.join(F.broadcast(draws)).select("draw", "season", F.floor(C.uniform(F.col("draw"), F.col("season"), F.col("i")) * F.col("n")).cast("long").alias("i"))  # 200 numbers
-    m = picks.join(r.select("season", "i", "d"), ["season", "i"]).groupBy("draw").agg(F.avg("d").alias("m"))
-    return m.agg(F.count("*").alias("draws"), F.round(F.avg("m"), 6).alias("mean"), F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"))
+    """Paired bootstrap of the gain over chance within seasons."""
+    u = win_predictions(spark, sf).select("season", "series_id", _gain().alias("s"), F.lit(1_000_000_000).cast("long").alias("k"))
+    return I.summary(I.poisson_bootstrap(u, F.col("series_id").cast("string"), "season", _DRAWS, "1"))
 
 
 @query("m16_cluster_bootstrap", "series", f"""
-WITH {PRED}, c AS (SELECT season, t, sum(({LL}) - ln(2.0)) AS s, count(*) AS k FROM pred GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY season ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY season) AS n FROM c),
-dr AS (SELECT draw, season, CAST(floor(CAST(('0x' || substr(md5(draw || '|' || season || '|' || i || '|2'), 1, 8)) AS BIGINT) / 4294967296.0 * n) AS BIGINT) AS j FROM range({_DRAWS}) a(draw), r),
-m AS (SELECT draw, sum(s) / sum(k) AS m FROM dr JOIN r ON r.season = dr.season AND r.i = dr.j GROUP BY draw)
-SELECT count(*) AS draws, round(avg(m), 6) AS mean, round(stddev_samp(m), 6) AS se, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""")
+WITH {PRED}, bu AS (SELECT season, t, CAST(sum({_GAIN}) AS BIGINT) AS s, count(*) * 1000000000::BIGINT AS k FROM pred GROUP BY 1, 2), {I.poisson_sql("bu", "season || '|' || t", "season", _DRAWS, "2")}
+SELECT {_STATS} FROM bm""")
 def m16(spark, sf):
     """Whole clusters (series of one time) are drawn within seasons; a cluster enters as its sum and count."""
-    p = win_predictions(spark, sf).withColumn("d", C.log_loss(F.col("y"), F.col("p")) - float(np.log(2.0)))
-    c = p.groupBy("season", "t").agg(F.sum("d").alias("s"), F.count("*").alias("k"))
-    r = c.select("season", "s", "k", (F.row_number().over(Window.partitionBy("season").orderBy("t")) - 1).cast("long").alias("i"), F.count("*").over(Window.partitionBy("season")).alias("n"))
-    draws = spark.range(_DRAWS).withColumnRenamed("id", "draw")
-    picks = r.join(F.broadcast(draws)).select("draw", "season", F.floor(C.uniform(F.col("draw"), F.col("season"), F.col("i"), seed="2") * F.col("n")).cast("long").alias("i"))  # 200 numbers
-    m = picks.join(r.select("season", "i", "s", "k"), ["season", "i"]).groupBy("draw").agg((F.sum("s") / F.sum("k")).alias("m"))
-    return m.agg(F.count("*").alias("draws"), F.round(F.avg("m"), 6).alias("mean"), F.round(F.stddev_samp("m"), 6).alias("se"), F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"))
+    u = win_predictions(spark, sf).groupBy("season", "t").agg(F.sum(_gain()).alias("s"), (F.count("*") * 1_000_000_000).alias("k"))
+    return I.summary(I.poisson_bootstrap(u, F.concat_ws("|", "season", F.col("t").cast("string")), "season", _DRAWS, "2"))
 
 
 @query("m02_metric_variants", "series", f"""

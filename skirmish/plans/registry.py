@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audits, backbone, benchmark, finals, forecast, history, ladders, roster, sources  # noqa: F401
+from . import audits, backbone, benchmark, finals, forecast, history, ladders, learning, roster, sources  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
 
 

@@ -63,3 +63,23 @@ def forget(spark: SparkSession, key: tuple) -> None:
     with contextlib.suppress(Exception):
         fs, p = _file_system(spark, _WRITTEN.pop(key))
         fs.delete(p, True)
+
+
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back, which cuts its lineage. ``drop`` deletes it before the program's end."""
+    spark = df.sparkSession
+    where = shared_dir(spark)
+    if where is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    key, path = (uuid.uuid4().hex,), f"{where}/skirmish-{name}-{uuid.uuid4().hex}"
+    _WRITTEN[key] = path
+    atexit.register(forget, spark, key)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stash = key
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes a stashed table that nothing reads any more."""
+    forget(df.sparkSession, df._stash)
