@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.rounding import rounded
+from .ladders import grouped_logistic
 
 
 def metrics(pred: DataFrame, *keys: str) -> DataFrame:
@@ -57,92 +57,12 @@ def block_bootstrap(pred: DataFrame, draws: int, seed: str = "1") -> DataFrame:
     return means.agg(F.count("*").alias("draws"), F.round(F.avg("m"), 6).alias("mean"), F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"))
 
 
-def recalibration(pred: DataFrame, key: str, steps: int = 12) -> DataFrame:
-    """Per group: intercept and slope of y on logit(p), by Newton steps as aggregates over the group's rows: no rows are collected."""
-    x = pred.select(key, C.logit(F.col("p")).alias("x"), F.col("y").cast("double").alias("y"))
-    state = x.select(key).distinct().select(key, F.lit(0.0).alias("b0"), F.lit(1.0).alias("b1"))
-    spark = pred.sparkSession
-    for _ in range(steps):
-        mu = C.sigmoid(F.col("b0") + F.col("b1") * F.col("x"))
-        v, r = mu * (1 - mu), F.col("y") - mu
-        sums = x.join(state, key).groupBy(key, "b0", "b1").agg(F.sum(v).alias("h00"), F.sum(v * F.col("x")).alias("h01"), F.sum(v * F.col("x") * F.col("x")).alias("h11"), F.sum(r).alias("g0"), F.sum(r * F.col("x")).alias("g1"))
-        det = F.col("h00") * F.col("h11") - F.col("h01") * F.col("h01")
-        rows = sums.select(key, (F.col("b0") + F.when(det > 1e-12, (F.col("h11") * F.col("g0") - F.col("h01") * F.col("g1")) / det).otherwise(0.0)).alias("b0"), (F.col("b1") + F.when(det > 1e-12, (F.col("h00") * F.col("g1") - F.col("h01") * F.col("g0")) / det).otherwise(0.0)).alias("b1")).collect()
-        state = spark.createDataFrame([tuple(r) for r in rows], f"{key} string, b0 double, b1 double")  # a row per group
-    return state.select(key, F.round("b0", 4).alias("intercept"), F.round("b1", 4).alias("slope"))
-
-
-def isotonic(p: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Pool-adjacent-violators fit of y on p, at p's own places."""
-    order = np.argsort(p, kind="stable")
-    blocks: list[list[float]] = []
-    for v in y[order].astype(float):
-        blocks.append([v, 1.0])
-        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
-            a, b = blocks.pop(), blocks.pop()
-            blocks.append([(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1]])
-    out = np.empty(len(p))
-    out[order] = np.concatenate([np.full(int(n), m) for m, n in blocks]) if blocks else []
-    return out
-
-
-def isotonic_by(pred: DataFrame, key: str) -> DataFrame:
-    """Per group: p mapped by an isotonic fit on earlier seasons is left to the caller; this is the fit itself, on binned p (1/1000)
-    so that a group's task holds at most a thousand rows."""
-    binned = pred.groupBy(key, (F.floor(F.col("p") * 1000) / 1000).alias("p")).agg(F.sum("y").alias("s"), F.count("*").alias("n"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("p")
-        blocks: list[list[float]] = []
-        for s, n, i in zip(pdf.s, pdf.n, range(len(pdf))):
-            blocks.append([float(s), float(n), i])
-            while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
-                a, b = blocks.pop(), blocks.pop()
-                blocks.append([a[0] + b[0], a[1] + b[1], a[2]])
-        ends, fit = [b[2] for b in blocks], np.empty(len(pdf))
-        start = 0
-        for b, e in zip(blocks, ends):
-            fit[start : e + 1] = b[0] / b[1]
-            start = e + 1
-        return pd.DataFrame({key: pdf[key], "p": pdf.p, "n": pdf.n, "fit": np.round(fit, 6)})
-
-    return binned.groupBy(key).applyInPandas(run, f"{key} string, p double, n long, fit double")
-
-
-def select_configs(pred: DataFrame, folds: DataFrame) -> DataFrame:
-    """For every fold, the configuration with the least mean log loss over rows before the fold's start (ties: by name). Every
-    configuration was run once over all rows; a fold's score is a prefix, so each fold is an aggregate, not another run."""
-    per = pred.groupBy("config", "t").agg(F.sum(C.log_loss(F.col("y"), F.col("p"))).alias("s"), F.count("*").alias("n"))
-    scored = folds.select(F.col("season").alias("fold"), "start_t").join(per, F.col("t") < F.col("start_t")).groupBy("fold", "config").agg(F.round(F.sum("s") / F.sum("n"), 8).alias("score"))
-    best = F.row_number().over(Window.partitionBy("fold").orderBy("score", "config"))
-    return scored.withColumn("r", best).where("r = 1").select("fold", "config", F.round("score", 6).alias("score"))
+def recalibration(pred: DataFrame, key: str, steps: int = 12, digits: int = 4) -> DataFrame:
+    """Per group: intercept and slope of y on logit(p), by Newton steps as aggregates over all groups' rows."""
+    w = grouped_logistic(pred.select(key, "y", C.logit(F.col("p")).alias("x")), key, ["x"], "y", float("inf"), steps, start=[0.0, 1.0])
+    return w.select(key, rounded(F.col("w0"), digits).alias("intercept"), rounded(F.col("w1"), digits).alias("slope"))
 
 
 def ablation(scores: DataFrame) -> DataFrame:
     """Successive differences along the models' order: ``scores`` (ordinal, config, log_loss)."""
     return scores.withColumn("delta", F.round(F.col("log_loss") - F.lag("log_loss").over(Window.orderBy("ordinal")), 6))  # a row per model
-
-
-def logistic_l2(features: DataFrame, cols: list[str], label: str, strength: float, steps: int = 15) -> np.ndarray:
-    """L2 logistic regression (intercept free) by Newton steps; every step is one aggregate of (1 + d)^2 sums over the rows."""
-    d = len(cols)
-    x = [F.lit(1.0), *[F.col(c).cast("double") for c in cols]]
-    w, lam = np.zeros(d + 1), np.diag([0.0] + [1 / strength] * d)
-    for _ in range(steps):
-        z = sum((F.lit(float(w[i])) * x[i] for i in range(d + 1)), F.lit(0.0))
-        mu = C.sigmoid(z)
-        grad = [F.sum((mu - F.col(label)) * x[i]) for i in range(d + 1)]
-        hess = [F.sum(mu * (1 - mu) * x[i] * x[j]) for i in range(d + 1) for j in range(i, d + 1)]
-        got = features.agg(*[c.alias(f"c{i}") for i, c in enumerate(grad + hess)]).first()
-        g = np.array(got[: d + 1]) + lam @ w
-        h, k = np.array(lam), d + 1
-        for i in range(d + 1):
-            for j in range(i, d + 1):
-                h[i, j] += got[k]
-                h[j, i] = h[i, j]
-                k += 1
-        step = np.linalg.solve(h + 1e-12 * np.eye(d + 1), g)
-        w = w - step
-        if abs(step).max() < 1e-10:
-            break
-    return w

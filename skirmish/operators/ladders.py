@@ -20,39 +20,44 @@ def expand_folds(rows: DataFrame, folds: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(small), F.col("ordinal") <= F.col("fold")).withColumn("train", F.col("ordinal") < F.col("fold"))
 
 
-def grouped_logistic(rows: DataFrame, key: str, cols: list[str], label: str, strength: float, steps: int = 8) -> DataFrame:
-    """(key, w0, w1, ...): L2 logistic weights (w0 the free intercept) of every group, by Newton steps from zero.
+def grouped_logistic(rows: DataFrame, key: str, cols: list[str], label: str, strength: float, steps: int = 8, *, intercept: bool = True, start: list[float] | None = None, penalty=None, bound: float | None = None) -> DataFrame:
+    """(key, w0, w1, ...): penalised logistic weights of every group, by Newton steps from ``start`` (zeros).
 
-    Each step is one aggregate over all groups: sums of gradient and Hessian by ``key``. The solved steps, one small system a
-    group, go back as a broadcast table of a row per group.
+    w0 is the free intercept, if there is one. All others have the penalty 1 / ``strength`` around ``start``; ``penalty(key)``, where
+    given, returns a group's own penalties. Weights stay within ``bound``. Each step is one aggregate over all groups: sums of
+    gradient and Hessian by ``key``. The solved steps, one small system a group, go back as a table of a row per group.
     """
-    spark, d = rows.sparkSession, len(cols) + 1
-    x = [F.lit(1.0), *[F.col(c).cast("double") for c in cols]]
+    spark = rows.sparkSession
+    x = [*([F.lit(1.0)] if intercept else []), *[F.col(c).cast("double") for c in cols]]
+    d = len(x)
     names = [f"w{i}" for i in range(d)]
-    lam = np.diag([0.0] + [1 / strength] * (d - 1))
+    first = np.zeros(d) if start is None else np.array(start, float)
+    shared = np.array(([0.0] if intercept else []) + [1 / strength] * len(cols))
     base = rows.select(F.col(key).alias("__k"), *[v.alias(f"__x{i}") for i, v in enumerate(x)], F.col(label).cast("double").alias("__y"))
     x = [F.col(f"__x{i}") for i in range(d)]
     base = stash(base, "fit")  # every step reads it
+    kind, wide = rows.schema[key].dataType.simpleString(), ", ".join(f"{n} double" for n in names)
     weights: dict = {}
     for _ in range(steps):
         if weights:
-            table = spark.createDataFrame([(k, *map(float, w)) for k, w in weights.items()], f"__k {rows.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names))
-            now = base.join(F.broadcast(table), "__k")  # a row per group
+            table = spark.createDataFrame([(k, *map(float, w)) for k, w in weights.items()], f"__k {kind}, {wide}")
+            now = base.join(table, "__k")
         else:
-            now = base.select("*", *[F.lit(0.0).alias(n) for n in names])
+            now = base.select("*", *[F.lit(float(v)).alias(n) for n, v in zip(names, first)])
         mu = C.sigmoid(sum((F.col(n) * v for n, v in zip(names, x)), F.lit(0.0)))
         sums = [F.sum((mu - F.col("__y")) * v) for v in x] + [F.sum(mu * (1 - mu) * x[i] * x[j]) for i in range(d) for j in range(i, d)]
-        for r in now.groupBy("__k").agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).collect():
-            w = weights.get(r[0], np.zeros(d))
-            h, k = np.array(lam), d + 1
+        for r in now.groupBy("__k").agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).collect():  # a row per group
+            w, lam = weights.get(r[0], first), shared if penalty is None else np.array(penalty(r[0]), float)
+            h, k = np.diag(lam), d + 1
             for i in range(d):
                 for j in range(i, d):
                     h[i, j] += r[k]
                     h[j, i] = h[i, j]
                     k += 1
-            weights[r[0]] = w - np.linalg.solve(h + 1e-9 * np.eye(d), np.array(r[1 : d + 1]) + lam @ w)
+            w = w - np.linalg.solve(h + 1e-9 * np.eye(d), np.array(r[1 : d + 1]) + lam * (w - first))
+            weights[r[0]] = w if bound is None else np.clip(w, -bound, bound)
     drop(base)
-    return spark.createDataFrame([(k, *map(float, w)) for k, w in weights.items()], f"{key} {rows.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names))
+    return spark.createDataFrame([(k, *map(float, w)) for k, w in weights.items()], f"{key} {kind}, {wide}")
 
 
 def apply_weights(rows: DataFrame, weights: DataFrame, key: str, cols: list[str]) -> DataFrame:

@@ -122,11 +122,6 @@ def m14(spark, sf):
     return E.block_bootstrap(win_predictions(spark, sf), 500)
 
 
-@query("m18_isotonic", "series")
-def m18(spark, sf):
-    return E.isotonic_by(win_predictions(spark, sf), "season")
-
-
 @query("m10_ablation", "series", f"""
 WITH {PRED}, x AS (SELECT 0 AS ordinal, 'B0' AS config, round(ln(2.0), 6) AS log_loss UNION ALL SELECT 1, 'B1', round(avg({LL}), 6) FROM pred) SELECT ordinal, config, log_loss, round(log_loss - lag(log_loss) OVER (ORDER BY ordinal), 6) AS delta FROM x""")
 def m10(spark, sf):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.rounding import rounded, rounded_sql
+from ..operators import evaluate as E
 from ..operators import inference as I
 from ..operators import ladders as L
 from ..operators import ratings as R
@@ -100,19 +101,10 @@ def l02(spark, sf):
     return w.select(F.stack(F.lit(3), F.lit("intercept"), F.round("w0", 5), F.lit("rate_a"), F.round("w1", 5), F.lit("rate_b"), F.round("w2", 5)).alias("term", "weight"))
 
 
-_RECAL = """
-st AS (SELECT season, 0 AS i, 0.0::DOUBLE AS b0, 1.0::DOUBLE AS b1 FROM (SELECT DISTINCT season FROM x) UNION ALL
- SELECT season, i + 1, b0 + CASE WHEN det > 1e-12 THEN (h11 * g0 - h01 * g1) / det ELSE 0.0 END, b1 + CASE WHEN det > 1e-12 THEN (h00 * g1 - h01 * g0) / det ELSE 0.0 END FROM (
-  SELECT *, h00 * h11 - h01 * h01 AS det FROM (SELECT season, i, b0, b1, sum(v) AS h00, sum(v * x) AS h01, sum(v * x * x) AS h11, sum(y - mu) AS g0, sum((y - mu) * x) AS g1 FROM (
-   SELECT *, mu * (1 - mu) AS v FROM (SELECT st.*, x.x, x.y, 1 / (1 + exp(-(b0 + b1 * x.x))) AS mu FROM st JOIN x ON x.season = st.season WHERE i < 12)) GROUP BY season, i, b0, b1)))"""
-
-
 @query("m05_recalibration", "series", f"""
-WITH RECURSIVE {PRED}, x AS MATERIALIZED (SELECT season, ln(greatest(1e-6, least(1 - 1e-6, p)) / (1 - greatest(1e-6, least(1 - 1e-6, p)))) AS x, y FROM pred), {_RECAL}
-SELECT season, round(b0, 4) AS intercept, round(b1, 4) AS slope FROM st WHERE i = 12""")
+WITH RECURSIVE {PRED}, x AS MATERIALIZED (SELECT season, ln({CLIP} / (1 - {CLIP})) AS x, y FROM pred), {newton("x", "season", ["1.0", "x"], [0.0, 0.0], 12, start=[0.0, 1.0])}
+SELECT season, {rounded_sql('w0', 4)} AS intercept, {rounded_sql('w1', 4)} AS slope FROM fit""")
 def m05(spark, sf):
-    from ..operators import evaluate as E
-
     return E.recalibration(win_predictions(spark, sf), "season")
 
 
