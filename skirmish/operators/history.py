@@ -152,21 +152,6 @@ def counters(appearances: DataFrame, m: float = 20.0) -> DataFrame:
     return rows.groupBy("hero", "against").agg(F.count("*").alias("games"), F.count_if("won").alias("wins")).withColumn("rate", F.round(C.shrunk(F.col("wins"), F.col("games"), m), 6))
 
 
-def fingerprints(appearances: DataFrame) -> DataFrame:
-    """A key per game that does not depend on its order or date: the sorted heroes of both sides, sides sorted."""
-    side = appearances.groupBy("series_id", "game_number", "side").agg(F.array_join(F.array_sort(F.collect_list("hero")), ",").alias("h"))
-    return side.groupBy("series_id", "game_number").agg(F.array_join(F.array_sort(F.collect_list("h")), "|").alias("key"))
-
-
-def linkage(undated: DataFrame, dated: DataFrame) -> DataFrame:
-    """Links undated rows (row_id, key) to dated games (game_id, key): UNIQUE if one game has the key and no other row claims it."""
-    hits = dated.groupBy("key").agg(F.count("*").alias("n"), F.min("game_id").alias("game_id"))
-    joined = undated.join(hits, "key", "left")
-    claims = F.count("*").over(Window.partitionBy("game_id"))
-    status = F.when(F.col("n").isNull(), "NO_MATCH").when(F.col("n") > 1, "MULTIPLE").when(claims > 1, "SOURCE_CONFLICT").otherwise("UNIQUE")
-    return joined.withColumn("status", status).select("row_id", "status", F.when(F.col("status") == "UNIQUE", F.col("game_id")).alias("game_id"))
-
-
 def sequential_draft(events: DataFrame) -> DataFrame:
     """After each event j = 0..18 of a draft: bans and picks of both sides so far."""
     steps = F.explode(F.sequence(F.lit(0), F.lit(18)))

@@ -138,32 +138,6 @@ def a43(spark, sf):
     return H.counters(A.appearances(spark, sf))
 
 
-LINK = """
-s AS (SELECT series_id, game_number, side, string_agg(CAST(hero AS VARCHAR), ',' ORDER BY hero) AS h FROM appearances GROUP BY 1, 2, 3),
-k AS (SELECT series_id, game_number, string_agg(h, '|' ORDER BY h) AS key FROM s GROUP BY 1, 2),
-d AS (SELECT key, count(*) AS n, min(series_id * 100 + game_number) AS game_id FROM k WHERE series_id % 3 <> 0 GROUP BY key),
-u AS (SELECT series_id * 100 + game_number AS row_id, key FROM k WHERE series_id % 2 = 0),
-j AS (SELECT row_id, n, game_id, count(*) OVER (PARTITION BY game_id) AS claims FROM u LEFT JOIN d USING (key)),
-r AS (SELECT row_id, CASE WHEN n IS NULL THEN 'NO_MATCH' WHEN n > 1 THEN 'MULTIPLE' WHEN claims > 1 THEN 'SOURCE_CONFLICT' ELSE 'UNIQUE' END AS status, game_id FROM j)"""
-
-
-def _linked(spark, sf):
-    k = H.fingerprints(A.appearances(spark, sf))
-    g = (F.col("series_id") * 100 + F.col("game_number")).alias("game_id")
-    dated = k.where("series_id % 3 <> 0").select(g, "key")
-    return H.linkage(k.where("series_id % 2 = 0").select(g.alias("row_id"), "key"), dated)
-
-
-@query("j16_fingerprint_linkage", "appearances", f"WITH {LINK} SELECT row_id, status, CASE WHEN status = 'UNIQUE' THEN game_id END AS game_id FROM r")
-def j16(spark, sf):
-    return _linked(spark, sf)
-
-
-@query("a47_linkage_summary", "appearances", f"WITH {LINK} SELECT status, count(*) AS n FROM r GROUP BY ROLLUP (status)")
-def a47(spark, sf):
-    return _linked(spark, sf).rollup("status").agg(F.count("*").alias("n"))
-
-
 @query("w11_sequential_draft", "draft_events", """
 SELECT d.series_id, CAST(j AS INTEGER) AS j, CAST(count(*) FILTER (seq <= j AND kind = 'B' AND side = 0) AS INTEGER) AS bans_a, CAST(count(*) FILTER (seq <= j AND kind = 'B' AND side = 1) AS INTEGER) AS bans_b,
  CAST(count(*) FILTER (seq <= j AND kind = 'P' AND side = 0) AS INTEGER) AS picks_a, CAST(count(*) FILTER (seq <= j AND kind = 'P' AND side = 1) AS INTEGER) AS picks_b FROM draft_events d, range(19) r(j) GROUP BY 1, 2""")
