@@ -87,19 +87,6 @@ def test_later_results_never_change_earlier_predictions(spark):
         assert first != second
 
 
-def test_prior_state_excludes_ties(spark):
-    df = spark.createDataFrame([(1, 1, True), (1, 1, False), (2, 1, True), (2, 2, True)], "t long, k long, won boolean")
-    got = sorted((r.t, r.k, r.x_games, r.x_wins, r.x_rate) for r in H.prior_rates(df, ["k"], "t", "won", "x").collect())
-    assert got == sorted([(1, 1, 0, 0, None), (1, 1, 0, 0, None), (2, 1, 2, 1, 0.5), (2, 2, 0, 0, None)], key=str) or got[2] == (2, 1, 2, 1, 0.5)
-
-
-def test_linkage_statuses(spark):
-    dated = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b"), (4, "c")], "game_id long, key string")
-    rows = spark.createDataFrame([(10, "a"), (11, "b"), (12, "c"), (13, "c"), (14, "z")], "row_id long, key string")
-    got = {r.row_id: (r.status, r.game_id) for r in H.linkage(rows, dated).collect()}
-    assert got == {10: ("UNIQUE", 1), 11: ("MULTIPLE", None), 12: ("SOURCE_CONFLICT", None), 13: ("SOURCE_CONFLICT", None), 14: ("NO_MATCH", None)}
-
-
 def test_series_mathematics(spark):
     r = spark.range(1).select(*[C.series_prob(F.lit(0.6), n).alias(f"b{n}") for n in (3, 5, 7)], C.game_prob(F.lit(0.68256), 5).alias("g")).first()
     assert [round(r.b3, 6), round(r.b5, 6), round(r.b7, 6), round(r.g, 9)] == [0.648, 0.68256, 0.710208, 0.6]
@@ -113,16 +100,3 @@ def test_metrics_by_hand(spark):
     assert one.auc is None
     bins = E.reliability(p).collect()
     assert len(bins) == 10 and sum(b.n for b in bins) == 4 and bins[5].mean_p is None
-
-
-def test_isotonic_and_logistic(spark):
-    import numpy as np
-
-    assert E.isotonic(np.array([1.0, 2, 3, 4]), np.array([0, 1, 0, 1])).tolist() == [0, 0.5, 0.5, 1]
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=400)
-    y = (rng.random(400) < 1 / (1 + np.exp(-(0.5 + 1.5 * x)))).astype(int)
-    w = E.logistic_l2(spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, y)], "x double, y int"), ["x"], "y", 1e6)
-    assert abs(w[0] - 0.5) < 0.35 and abs(w[1] - 1.5) < 0.5
-    p = 1 / (1 + np.exp(-(w[0] + w[1] * x)))
-    assert abs((y - p).sum()) < 1e-4 and abs(((y - p) * x).sum()) < 1e-3
