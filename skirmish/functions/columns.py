@@ -91,10 +91,3 @@ def best_of(stage: Column) -> Column:
 def row_hash(*cols: Column) -> Column:
     """SHA-256 over the cells' texts, separated by U+001F; null cells are empty."""
     return F.sha2(F.concat_ws("\u001f", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols]), 256)
-
-
-def longest_common_substring(a: Column, b: Column) -> Column:
-    """The first of the longest substrings of ``a`` that occur in ``b``."""
-    subs = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(a), F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.length(a) - i + 1), lambda n: F.struct((-n).alias("n"), i.alias("i"), F.substring(a, i, n).alias("s")))))
-    hits = F.filter(subs, lambda x: (F.length(x["s"]) > 0) & (F.instr(b, x["s"]) > 0))
-    return F.coalesce(F.array_min(hits)["s"], F.lit(""))

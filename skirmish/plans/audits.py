@@ -85,21 +85,6 @@ def f12(spark, sf):
     return events.groupBy("series_id").agg(F.count("*").alias("n"), F.sum("e.hero").alias("hero_sum"))
 
 
-@query("f04_sequence_ratio")
-def f04r(spark, sf):
-    """Matching-block similarity of names, as no built-in has it: an Arrow function over pairs of distinct names."""
-    from difflib import SequenceMatcher
-
-    names = A.table(spark, sf, "part").select("p_name").distinct()
-    x, y = names.select(F.col("p_name").alias("x"), F.substring("p_name", 1, 1).alias("k")), names.select(F.col("p_name").alias("y"), F.substring("p_name", 1, 1).alias("k"))
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([round(SequenceMatcher(None, p, q, autojunk=False).ratio(), 6) for p, q in zip(a, b)])
-
-    return x.join(y, "k").where("x < y").select("x", "y", ratio("x", "y").alias("ratio"))
-
-
 @query("j04_simultaneous_teams", "series registry", f"WITH {CANONICAL} SELECT cid, t, count(*) AS n FROM ids GROUP BY 1, 2 HAVING count(*) > 1")
 def j04(spark, sf):
     s = B.resolved(A.series(spark, sf), A.registry(spark, sf))

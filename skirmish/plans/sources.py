@@ -53,12 +53,6 @@ def f02(spark, sf):
     return A.table(spark, sf, "part").select("p_partkey", F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", "p_name", "p_type")), F.lit("[a-z]{2,}"), 0))).alias("tokens"))
 
 
-@query("f03_longest_common_substring")
-def f03(spark, sf):
-    p = A.table(spark, sf, "part").select("p_name").distinct()
-    return p.select("p_name", C.longest_common_substring(F.col("p_name"), F.lit("green widget ring")).alias("lcs"))
-
-
 @query("f17_logit_sigmoid", "", "SELECT CAST(i AS INTEGER) AS i, round(ln(p / (1 - p)), 6) AS x, round(1 / (1 + exp(-ln(p / (1 - p)))), 6) AS p FROM (SELECT i, greatest(1e-6, least(1 - 1e-6, i / 100.0)) AS p FROM range(101) r(i))")
 def f17(spark, sf):
     x = C.logit(F.col("id") / 100.0)
