@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..sources import adapter as A
-from ..sources import scans
+from ..sources import collect, scans
+from ..sources.store import shared_dir
 from ..streaming import jobs
 from .base import query
 
@@ -79,3 +82,38 @@ def so5(spark, sf):
 def st2(spark, sf):
     out = jobs.run_to_table(jobs.windowed(jobs.event_stream(spark, sf)))
     return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total")
+
+
+def page_jobs(spark, sf):
+    """A job for every page; the stand-in server's answer travels as the payload."""
+    return A.table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("key"), F.lit("page").alias("endpoint"), F.col("html").alias("payload"))
+
+
+def page_server(key, endpoint, payload):
+    """Answers with the payload; one of eleven pages is not found, one of thirteen fails."""
+    if int(key) % 13 == 0:
+        raise TimeoutError(f"page {key}")
+    return (404, b"") if int(key) % 11 == 0 else (200, (payload or "").encode())
+
+
+def _collected(spark, sf):
+    where = shared_dir(spark)
+    return collect.collect(page_jobs(spark, sf), f"{where}/skirmish-store-{uuid.uuid4().hex}", page_server, wave=5_000)
+
+
+_SERVED = """
+SELECT CAST(page_id AS VARCHAR) AS key, CASE WHEN page_id % 13 = 0 THEN NULL WHEN page_id % 11 = 0 THEN 404 ELSE 200 END AS http_status, CASE WHEN page_id % 13 = 0 THEN 'TimeoutError: page ' || page_id END AS error,
+ CASE WHEN page_id % 13 = 0 OR page_id % 11 = 0 THEN '' ELSE coalesce(html, '') END AS body FROM pages"""
+
+
+@query("s12_collected_manifest", "", f"SELECT key, http_status, error, octet_length(encode(body)) AS bytes, sha256(body) AS sha256 FROM ({_SERVED})")
+def s12(spark, sf):
+    """The manifest of a store into which every page was collected, in waves."""
+    return _collected(spark, sf).select("key", "http_status", "error", "bytes", "sha256")
+
+
+@query("s14_left_to_do", "", f"SELECT key, error FROM ({_SERVED}) WHERE coalesce(http_status, 0) <> 200")
+def s14(spark, sf):
+    """What a second run would ask for again: jobs without a good response, and why."""
+    m = _collected(spark, sf)
+    return collect.todo(page_jobs(spark, sf), m).join(m.select("key", "error"), "key").select("key", "error")
