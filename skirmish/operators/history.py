@@ -58,19 +58,24 @@ def preseries_state(appearances: DataFrame) -> DataFrame:
     return per.select("player", "t", F.coalesce(F.sum("g").over(w), F.lit(0)).alias("games"), F.coalesce(F.sum("w").over(w), F.lit(0)).alias("wins"), F.coalesce(F.sum("d").over(w), F.lit(0)).alias("decided"))
 
 
-def draft_state(events: DataFrame, m: float = 10.0) -> DataFrame:
-    """Per draft event: prior picks, bans and shrunk win rate of the hero, and of the hero in the team; the same game does not count."""
+def draft_sums(events: DataFrame) -> DataFrame:
+    """Per draft event: prior picks, bans, wins and decided picks of the hero, and the hero's picks, wins and decided picks in the team;
+    the same game, and games of the same time, do not count."""
     pick = F.col("kind") == "P"
     w, d = _one(pick & F.col("won")), _one(pick & F.col("won").isNotNull())
     out = prior_sums(events, ["hero"], "t", {"prior_picks": _one(pick), "prior_bans": _one(F.col("kind") == "B"), "w": w, "d": d}, 24 * 90)
-    out = prior_sums(out, ["team", "hero"], "t", {"tw": w, "td": d}, 24 * 90, events)
+    return prior_sums(out, ["team", "hero"], "t", {"tg": _one(pick), "tw": w, "td": d}, 24 * 90, events)
+
+
+def draft_state(events: DataFrame, m: float = 10.0) -> DataFrame:
+    """Per draft event: prior picks, bans and shrunk win rate of the hero, and of the hero in the team (see ``draft_sums``)."""
     rate = lambda w, d: rounded(C.shrunk(F.col(w), F.col(d), m))
-    return out.select("series_id", "seq", "hero", "kind", "prior_picks", "prior_bans", rate("w", "d").alias("prior_rate"), rate("tw", "td").alias("team_prior_rate"), (F.col("td") >= 5).alias("team_min_sample"))
+    return draft_sums(events).select("draft", "seq", "hero", "kind", "prior_picks", "prior_bans", rate("w", "d").alias("prior_rate"), rate("tw", "td").alias("team_prior_rate"), (F.col("td") >= 5).alias("team_min_sample"))
 
 
-def pair_state(appearances: DataFrame, m: float = 10.0) -> tuple[DataFrame, DataFrame]:
-    """(synergy, counter): per game and pair of heroes of one side, and per game and pair across sides (ordered), prior games,
-    decided games and shrunk win rate. A game makes at most 20 and 50 rows."""
+def pair_sums(appearances: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(synergy, counter): per game and pair of heroes of one side, and per game and pair across sides (ordered), prior games, wins and
+    decided games. A game makes at most 20 and 50 rows."""
     side = appearances.groupBy("series_id", "t", "game_number", "side", "won").agg(F.array_sort(F.collect_set("hero")).alias("h"))
     inner = F.expr("flatten(transform(h, (x, i) -> transform(slice(h, i + 2, size(h)), y -> struct(x as a, y as b))))")
     pairs = side.select("series_id", "t", "game_number", "side", "won", F.explode(inner).alias("p")).select("series_id", "t", "game_number", "side", "won", "p.*")
@@ -79,12 +84,52 @@ def pair_state(appearances: DataFrame, m: float = 10.0) -> tuple[DataFrame, Data
 
     def state(rows):
         rows = rows.withColumn("clock", F.col("t") * 1000 + F.col("game_number"))
-        s = prior_sums(rows, ["a", "b"], "clock", {"prior_games": F.lit(1).cast("long"), "w": _one(F.col("won")), "prior_decided": _one(F.col("won").isNotNull())}, 24 * 365 * 1000)
-        return s.withColumn("prior_rate", rounded(C.shrunk(F.col("w"), F.col("prior_decided"), m))).drop("clock", "won", "w")
+        return prior_sums(rows, ["a", "b"], "clock", {"prior_games": F.lit(1).cast("long"), "w": _one(F.col("won")), "prior_decided": _one(F.col("won").isNotNull())}, 24 * 365 * 1000)
 
     return state(pairs), state(cross)
 
 
+def pair_state(appearances: DataFrame, m: float = 10.0) -> tuple[DataFrame, DataFrame]:
+    """(synergy, counter) with shrunk win rates; see ``pair_sums``."""
+    return tuple(s.withColumn("prior_rate", rounded(C.shrunk(F.col("w"), F.col("prior_decided"), m))).drop("clock", "won", "w") for s in pair_sums(appearances))
+
+
+def shrunk_from(w: Column, d: Column, m: float, least: int) -> Column:
+    """The shrunk rate less one half; 0 below ``least`` decided games."""
+    return F.when(d >= least, C.shrunk(w, d, m) - 0.5).otherwise(0.0)
+
+
+#: Of each side of a game, before it: means over its picks, its bans, its pairs, and its pairs against the other side.
+STATIC = ["hero_strength", "hero_winrate_raw", "hero_pick_rate", "team_hero_familiarity", "team_hero_strength", "ban_strength", "synergy", "pair_novelty", "counter"]
+
+
+def static_features(events: DataFrame, appearances: DataFrame, m: float = 10.0, least: int = 5) -> DataFrame:
+    """(series_id, game_number, <feature>_a, <feature>_b, <feature>_diff): what a draft's heroes had done before the game's time.
+
+    Rates are shrunk with the weight of ``m`` games and count from ``least`` decided games on; pick rates are over all games before.
+    A side without such picks, bans or pairs has nulls.
+    """
+    games = events.groupBy("t").agg(F.countDistinct("draft").alias("n"))
+    before = games.select("t", F.coalesce(F.sum("n").over(Window.orderBy("t").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("games"))  # a row per distinct time
+    key = ["series_id", "game_number", "side"]
+    e = draft_sums(events).join(before, "t")
+    pick, ban = F.col("kind") == "P", F.col("kind") == "B"
+    raw = F.when(F.col("d") >= max(least, 1), F.col("w") / F.greatest("d", F.lit(1)) - 0.5).otherwise(0.0)
+    of = lambda c, v: F.avg(F.when(c, v))
+    drafted = e.groupBy(*key).agg(
+        of(pick, shrunk_from(F.col("w"), F.col("d"), m, least)).alias("hero_strength"), of(pick, raw).alias("hero_winrate_raw"), (F.sum(F.when(pick, F.col("prior_picks"))) / (F.count_if(pick) * F.greatest(F.max("games"), F.lit(1)))).alias("hero_pick_rate"), of(pick, F.log1p("tg")).alias("team_hero_familiarity"),
+        of(pick, shrunk_from(F.col("tw"), F.col("td"), m, least)).alias("team_hero_strength"), of(ban, shrunk_from(F.col("w"), F.col("d"), m, least)).alias("ban_strength"),
+    )
+    synergy, counter = pair_sums(appearances)
+    v = shrunk_from(F.col("w"), F.col("prior_decided"), m, least)
+    own = synergy.groupBy(*key).agg(F.avg(v).alias("synergy"), F.avg((F.col("prior_games") == 0).cast("double")).alias("pair_novelty"))
+    against = counter.groupBy(*key).agg(F.avg(v).alias("counter"))
+    sides = drafted.join(own, key, "left").join(against, key, "left")
+    at = lambda f, s: F.max(F.when(F.col("side") == s, F.col(f)))
+    wide = sides.groupBy("series_id", "game_number").agg(*[at(f, s).alias(f"{f}_{x}") for f in STATIC for s, x in ((0, "a"), (1, "b"))])
+    return wide.select("series_id", "game_number", *[rounded(F.col(f"{f}_{x}")).alias(f"{f}_{x}") for f in STATIC for x in "ab"], *[rounded(F.col(f"{f}_a") - F.col(f"{f}_b")).alias(f"{f}_diff") for f in STATIC])
+
+
 def rolling_form(long: DataFrame, k: int = 5) -> DataFrame:
     """Per team and series: wins over the last k series before it. ``long``: series_id, t, team, won."""
     n = F.row_number().over(Window.partitionBy("team").orderBy("t", "series_id", "side"))
@@ -155,15 +200,15 @@ def counters(appearances: DataFrame, m: float = 20.0) -> DataFrame:
 def sequential_draft(events: DataFrame) -> DataFrame:
     """After each event j = 0..18 of a draft: bans and picks of both sides so far."""
     steps = F.explode(F.sequence(F.lit(0), F.lit(18)))
-    per = events.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "side"))).alias("e"))
+    per = events.groupBy("draft").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "side"))).alias("e"))
     x = per.withColumn("j", steps)
     count = lambda k, s: F.size(F.filter("e", lambda v: (v["seq"] <= F.col("j")) & (v["kind"] == k) & (v["side"] == s)))
-    return x.select("series_id", "j", count("B", 0).alias("bans_a"), count("B", 1).alias("bans_b"), count("P", 0).alias("picks_a"), count("P", 1).alias("picks_b"))
+    return x.select("draft", "j", count("B", 0).alias("bans_a"), count("B", 1).alias("bans_b"), count("P", 0).alias("picks_a"), count("P", 1).alias("picks_b"))
 
 
 def draft_quality(events: DataFrame) -> DataFrame:
     """Per draft: number of events, whether the shape is standard, which side picks first, repeated heroes."""
-    per = events.groupBy("series_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "kind"))), lambda x: x["kind"]), "").alias("shape"), F.min_by("side", F.when(F.col("kind") == "P", F.col("seq"))).alias("first_pick"), (F.count("*") - F.countDistinct("hero")).alias("repeated"))
+    per = events.groupBy("draft").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "kind"))), lambda x: x["kind"]), "").alias("shape"), F.min_by("side", F.when(F.col("kind") == "P", F.col("seq"))).alias("first_pick"), (F.count("*") - F.countDistinct("hero")).alias("repeated"))
     return per.withColumn("standard", F.col("shape") == "BBBBPPPPPPBBBBPPPP")
 
 

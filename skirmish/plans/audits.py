@@ -71,18 +71,18 @@ def f11(spark, sf):
     return A.games(spark, sf).select("series_id", "game_number", F.format_string("%06d#G%d", F.col("series_id"), F.col("game_number")).alias("game_key"))
 
 
-@query("f12_literal_parse", "draft_events", "SELECT series_id, count(*) AS n, CAST(sum(hero) AS BIGINT) AS hero_sum FROM draft_events WHERE kind = 'P' GROUP BY 1")
+@query("f12_literal_parse", "draft_events", "SELECT draft, count(*) AS n, CAST(sum(hero) AS BIGINT) AS hero_sum FROM draft_events WHERE kind = 'P' GROUP BY 1")
 def f12(spark, sf):
     """Drafts written as Python literals in text cells, parsed safely in Arrow batches, exploded and summed."""
     item = F.concat(F.lit("{'team': "), F.col("side").cast("string"), F.lit(", 'kind': '"), F.col("kind"), F.lit("', 'hero': "), F.col("hero").cast("string"), F.lit(", 'note': None}"))
-    cells = A.draft_events(spark, sf).groupBy("series_id").agg(F.concat(F.lit("["), F.array_join(F.collect_list(item), ", "), F.lit("]")).alias("cell"))
+    cells = A.draft_events(spark, sf).groupBy("draft").agg(F.concat(F.lit("["), F.array_join(F.collect_list(item), ", "), F.lit("]")).alias("cell"))
 
     @F.pandas_udf("array<struct<team:int,kind:string,hero:int>>")
     def parse(s: pd.Series) -> pd.Series:
         return s.map(lambda x: [{"team": e["team"], "kind": e["kind"], "hero": e["hero"]} for e in ast.literal_eval(x)])
 
-    events = cells.select("series_id", F.explode(parse("cell")).alias("e")).where("e.kind = 'P'")
-    return events.groupBy("series_id").agg(F.count("*").alias("n"), F.sum("e.hero").alias("hero_sum"))
+    events = cells.select("draft", F.explode(parse("cell")).alias("e")).where("e.kind = 'P'")
+    return events.groupBy("draft").agg(F.count("*").alias("n"), F.sum("e.hero").alias("hero_sum"))
 
 
 @query("j04_simultaneous_teams", "series registry", f"WITH {CANONICAL} SELECT cid, t, count(*) AS n FROM ids GROUP BY 1, 2 HAVING count(*) > 1")
@@ -138,13 +138,13 @@ def w09(spark, sf):
 
 
 @query("w13_pick_rate", "draft_events", f"""
-WITH g AS (SELECT t, count(DISTINCT series_id) AS n FROM draft_events GROUP BY t), b AS (SELECT t, coalesce(sum(n) OVER (ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS games FROM g),
+WITH g AS (SELECT t, count(DISTINCT draft) AS n FROM draft_events GROUP BY t), b AS (SELECT t, coalesce(sum(n) OVER (ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS games FROM g),
 h AS (SELECT hero, t, count(*) FILTER (kind = 'P') AS p FROM draft_events GROUP BY 1, 2), x AS (SELECT hero, t, coalesce(sum(p) OVER ({PRIOR.format(k='hero', t='t')}), 0) AS picks FROM h)
 SELECT hero, t, {rounded_sql("picks / greatest(games, 1)")} AS rate FROM x JOIN b USING (t)""")
 def w13(spark, sf):
     """Prior picks of a hero over the games before; one row per distinct time is ranked in one task."""
     e = A.draft_events(spark, sf)
-    g = e.groupBy("t").agg(F.countDistinct("series_id").alias("n"))
+    g = e.groupBy("t").agg(F.countDistinct("draft").alias("n"))
     b = g.select("t", F.coalesce(F.sum("n").over(Window.orderBy("t").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("games"))
     h = e.groupBy("hero", "t").agg(F.count_if(F.col("kind") == "P").alias("p")).withColumn("picks", F.coalesce(F.sum("p").over(H.prior(["hero"], "t")), F.lit(0)))
     return h.join(b, "t").select("hero", "t", rounded(F.col("picks") / F.greatest("games", F.lit(1))).alias("rate"))

@@ -37,7 +37,7 @@ _SHRUNK = "(count(*) FILTER (kind = 'P' AND won) OVER {w} + 5.0) / (count(*) FIL
 
 
 @query("w04_draft_state", "draft_events", f"""
-SELECT series_id, seq, hero, kind, count(*) FILTER (kind = 'P') OVER x AS prior_picks, count(*) FILTER (kind = 'B') OVER x AS prior_bans,
+SELECT draft, seq, hero, kind, count(*) FILTER (kind = 'P') OVER x AS prior_picks, count(*) FILTER (kind = 'B') OVER x AS prior_bans,
  {rounded_sql(_SHRUNK.format(w='x'))} AS prior_rate, {rounded_sql(_SHRUNK.format(w='y'))} AS team_prior_rate, count(*) FILTER (kind = 'P' AND won IS NOT NULL) OVER y >= 5 AS team_min_sample
 FROM draft_events WINDOW x AS ({PRIOR.format(k='hero', t='t')}), y AS ({PRIOR.format(k='team, hero', t='t')})""")
 def w04(spark, sf):
@@ -139,14 +139,14 @@ def a43(spark, sf):
 
 
 @query("w11_sequential_draft", "draft_events", """
-SELECT d.series_id, CAST(j AS INTEGER) AS j, CAST(count(*) FILTER (seq <= j AND kind = 'B' AND side = 0) AS INTEGER) AS bans_a, CAST(count(*) FILTER (seq <= j AND kind = 'B' AND side = 1) AS INTEGER) AS bans_b,
+SELECT d.draft, CAST(j AS INTEGER) AS j, CAST(count(*) FILTER (seq <= j AND kind = 'B' AND side = 0) AS INTEGER) AS bans_a, CAST(count(*) FILTER (seq <= j AND kind = 'B' AND side = 1) AS INTEGER) AS bans_b,
  CAST(count(*) FILTER (seq <= j AND kind = 'P' AND side = 0) AS INTEGER) AS picks_a, CAST(count(*) FILTER (seq <= j AND kind = 'P' AND side = 1) AS INTEGER) AS picks_b FROM draft_events d, range(19) r(j) GROUP BY 1, 2""")
 def w11(spark, sf):
     return H.sequential_draft(A.draft_events(spark, sf))
 
 
 @query("p06_draft_quality", "draft_events", """
-SELECT series_id, count(*) AS n, string_agg(kind, '' ORDER BY seq) AS shape, arg_min(side, seq) FILTER (kind = 'P') AS first_pick, count(*) - count(DISTINCT hero) AS repeated, string_agg(kind, '' ORDER BY seq) = 'BBBBPPPPPPBBBBPPPP' AS standard FROM draft_events GROUP BY 1""")
+SELECT draft, count(*) AS n, string_agg(kind, '' ORDER BY seq) AS shape, arg_min(side, seq) FILTER (kind = 'P') AS first_pick, count(*) - count(DISTINCT hero) AS repeated, string_agg(kind, '' ORDER BY seq) = 'BBBBPPPPPPBBBBPPPP' AS standard FROM draft_events GROUP BY 1""")
 def p06(spark, sf):
     return H.draft_quality(A.draft_events(spark, sf))
 
@@ -190,3 +190,28 @@ def j23(spark, sf):
     p = n.withColumn("handle", F.col("player") % 97)  # a row per player
     x, y = p.alias("x"), p.alias("y")
     return x.join(y, (F.col("x.handle") == F.col("y.handle")) & (F.col("x.player") < F.col("y.player")) & (F.abs(F.col("x.player") - F.col("y.player")) <= 200)).select(F.col("x.player").alias("x"), F.col("y.player").alias("y"), F.col("x.handle").alias("handle"), F.col("x.n").alias("series_x"), F.col("y.n").alias("series_y"))
+
+
+def _shr(w, d):
+    return f"CASE WHEN {d} >= 5 THEN ({w} + 5.0::DOUBLE) / ({d} + 10.0::DOUBLE) - 0.5::DOUBLE ELSE 0.0::DOUBLE END"
+
+
+_STATIC = f"""
+gn AS (SELECT t, count(DISTINCT draft) AS n FROM draft_events GROUP BY t), gb AS (SELECT t, coalesce(sum(n) OVER (ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS games FROM gn),
+es AS (SELECT series_id, game_number, side, kind, t, count(*) FILTER (kind = 'P') OVER x AS pp, count(*) FILTER (kind = 'P' AND won) OVER x AS w, count(*) FILTER (kind = 'P' AND won IS NOT NULL) OVER x AS d,
+ count(*) FILTER (kind = 'P') OVER y AS tg, count(*) FILTER (kind = 'P' AND won) OVER y AS tw, count(*) FILTER (kind = 'P' AND won IS NOT NULL) OVER y AS td FROM draft_events WINDOW x AS ({PRIOR.format(k='hero', t='t')}), y AS ({PRIOR.format(k='team, hero', t='t')})),
+dr AS (SELECT series_id, game_number, side, avg({_shr('w', 'd')}) FILTER (kind = 'P') AS hero_strength, avg(CASE WHEN d >= 5 THEN CAST(w AS DOUBLE) / d - 0.5::DOUBLE ELSE 0.0::DOUBLE END) FILTER (kind = 'P') AS hero_winrate_raw, CAST(sum(pp) FILTER (kind = 'P') AS DOUBLE) / (count(*) FILTER (kind = 'P') * greatest(max(games), 1)) AS hero_pick_rate,
+ avg(ln(1.0::DOUBLE + tg)) FILTER (kind = 'P') AS team_hero_familiarity, avg({_shr('tw', 'td')}) FILTER (kind = 'P') AS team_hero_strength, avg({_shr('w', 'd')}) FILTER (kind = 'B') AS ban_strength FROM es JOIN gb USING (t) GROUP BY 1, 2, 3),
+hh AS (SELECT DISTINCT series_id, t, game_number, side, won, hero, t * 1000 + game_number AS clock FROM appearances),
+p1 AS (SELECT a.series_id, a.game_number, a.side, a.won, a.clock, a.hero AS a, b.hero AS b FROM hh a JOIN hh b ON a.series_id = b.series_id AND a.game_number = b.game_number AND a.side = b.side AND a.hero < b.hero),
+p2 AS (SELECT a.series_id, a.game_number, a.side, a.won, a.clock, a.hero AS a, b.hero AS b FROM hh a JOIN hh b ON a.series_id = b.series_id AND a.game_number = b.game_number AND a.side <> b.side),
+q1 AS (SELECT *, count(*) OVER w AS g, count(*) FILTER (won) OVER w AS w, count(won) OVER w AS d FROM p1 WINDOW w AS ({PRIOR.format(k='a, b', t='clock')})), q2 AS (SELECT *, count(*) FILTER (won) OVER w AS w, count(won) OVER w AS d FROM p2 WINDOW w AS ({PRIOR.format(k='a, b', t='clock')})),
+sy AS (SELECT series_id, game_number, side, avg({_shr('w', 'd')}) AS synergy, avg(CAST(g = 0 AS INTEGER)) AS pair_novelty FROM q1 GROUP BY 1, 2, 3), cn AS (SELECT series_id, game_number, side, avg({_shr('w', 'd')}) AS counter FROM q2 GROUP BY 1, 2, 3),
+sd AS (SELECT * FROM dr LEFT JOIN sy USING (series_id, game_number, side) LEFT JOIN cn USING (series_id, game_number, side)),
+wd AS (SELECT series_id, game_number, {', '.join(f"max({f}) FILTER (side = {i}) AS {f}_{x}" for f in H.STATIC for i, x in enumerate("ab"))} FROM sd GROUP BY 1, 2)"""
+
+
+@query("j26_static_features", "appearances draft_events", f"WITH {_STATIC} SELECT series_id, game_number, {', '.join(rounded_sql(f'{f}_{x}') + f' AS {f}_{x}' for f in H.STATIC for x in 'ab')}, {', '.join(rounded_sql(f'{f}_a - {f}_b') + f' AS {f}_diff' for f in H.STATIC)} FROM wd")
+def j26(spark, sf):
+    """Of every game, both sides' draft features before it and their differences."""
+    return H.static_features(A.draft_events(spark, sf), A.appearances(spark, sf))

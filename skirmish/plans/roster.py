@@ -100,19 +100,19 @@ def s19(spark, sf):
 
 def _combo_bodies(spark, sf):
     e = A.draft_events(spark, sf).where("kind = 'P' and side = 0")
-    m = e.groupBy("team", "series_id").agg(F.array_sort(F.collect_list(F.struct(F.col("seq").alias("order"), F.col("hero").alias("hero_id")))).alias("p"))
-    m = m.select("team", F.struct(F.concat(F.col("series_id"), F.lit("_0")).alias("battle_id"), F.col("series_id").cast("string").alias("schedule_id"), F.lit(1).alias("match_num"), F.transform("p", lambda x: F.struct(x["hero_id"].alias("hero_id"), x["order"].alias("order"))).alias("bp_picks_left")).alias("m"), (F.col("series_id") % 64).alias("page"))
+    m = e.groupBy("team", "series_id", "game_number", "draft").agg(F.array_sort(F.collect_list(F.struct(F.col("seq").alias("order"), F.col("hero").alias("hero_id")))).alias("p"))
+    m = m.select("team", F.struct(F.concat(F.col("draft"), F.lit("_0")).alias("battle_id"), F.col("series_id").cast("string").alias("schedule_id"), F.col("game_number").alias("match_num"), F.transform("p", lambda x: F.struct(x["hero_id"].alias("hero_id"), x["order"].alias("order"))).alias("bp_picks_left")).alias("m"), F.floor(F.col("draft") / 100_000).alias("page"))  # a thousand series a page
     t = m.groupBy("team", "page").agg(F.collect_list("m").alias("matches"))
     return t.select(F.to_json(F.struct(F.lit(0).alias("result"), F.array(F.struct(F.col("team").cast("string").alias("team_id"), "matches")).alias("data"))).alias("body"))
 
 
-@query("s19_combo_matches", "draft_events", "SELECT CAST(team AS VARCHAR) AS team_slot, series_id || '_0' AS battle_id, CAST(series_id AS VARCHAR) AS scheduleid, CAST(1 AS INTEGER) AS match_num, string_agg(hero || ':' || seq, '|' ORDER BY seq) AS picks FROM draft_events WHERE kind = 'P' AND side = 0 GROUP BY team, series_id")
+@query("s19_combo_matches", "draft_events", "SELECT CAST(team AS VARCHAR) AS team_slot, draft || '_0' AS battle_id, CAST(series_id AS VARCHAR) AS scheduleid, CAST(game_number AS INTEGER) AS match_num, string_agg(hero || ':' || seq, '|' ORDER BY seq) AS picks FROM draft_events WHERE kind = 'P' AND side = 0 GROUP BY team, series_id, game_number, draft")
 def s19b(spark, sf):
     """Pages of matches per team: JSON bodies of bounded size."""
     return R.combo_matches(_combo_bodies(spark, sf))
 
 
-@query("s20_routed_tables", "draft_events", "SELECT 'getTeamList' AS endpoint, count(*) AS rows FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT 'getSeasonHeroComboMatches', count(*) FROM (SELECT DISTINCT series_id FROM draft_events)")
+@query("s20_routed_tables", "draft_events", "SELECT 'getTeamList' AS endpoint, count(*) AS rows FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT 'getSeasonHeroComboMatches', count(*) FROM (SELECT DISTINCT draft FROM draft_events)")
 def s20(spark, sf):
     """One store with responses of several endpoints; each goes to its parser."""
     store = _team_bodies(spark, sf).select(F.lit("getTeamList").alias("endpoint"), F.col("season").cast("string").alias("season"), "body").unionByName(_combo_bodies(spark, sf).select(F.lit("getSeasonHeroComboMatches").alias("endpoint"), F.lit("").alias("season"), "body"))

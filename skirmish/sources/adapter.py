@@ -96,13 +96,13 @@ def appearances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def draft_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """18 bans and picks of the first game of every series."""
-    g = games(spark, sf_dir).where("game_number = 1")
+    """18 bans and picks of every game; ``draft`` is the game's number among all."""
+    g = games(spark, sf_dir)
     shape = F.array(*[F.struct(F.lit(i + 1).alias("seq"), F.lit(k).alias("kind"), F.lit(int(s)).alias("side")) for i, (k, s) in enumerate(zip(SHAPE, SIDES))])
     e = g.withColumn("e", F.explode(shape))
     team = F.when(F.col("e.side") == 0, F.col("nation_a")).otherwise(F.col("nation_b"))
     won = F.when(F.col("winner").isNull(), F.lit(None)).otherwise((F.col("winner") == "a") == (F.col("e.side") == 0))
-    return e.select("series_id", "season", "t", F.col("e.seq").alias("seq"), F.col("e.kind").alias("kind"), F.col("e.side").alias("side"), team.alias("team"), ((F.col("part") * 7 + F.col("e.seq") * 13) % HEROES).cast("int").alias("hero"), won.alias("won"))
+    return e.select((F.col("series_id") * 100 + F.col("game_number")).alias("draft"), "series_id", "game_number", "season", "t", F.col("e.seq").alias("seq"), F.col("e.kind").alias("kind"), F.col("e.side").alias("side"), team.alias("team"), ((F.col("part") * 7 + F.col("e.seq") * 13) % HEROES).cast("int").alias("hero"), won.alias("won"))
 
 
 _OBSERVED = "CASE WHEN {n} % 5 = 0 THEN 'NATION_' || {n} || CASE WHEN {t} < 249720 THEN '.A' ELSE '.B' END WHEN {n} = 7 AND ({k}) % 2 = 1 THEN 'NATION_7.X' ELSE 'NATION_' || {n} END"
@@ -132,10 +132,10 @@ SQL = {
     CASE WHEN winner IS NULL THEN NULL ELSE (winner = 'a') = (side = 0) END AS won
   FROM (SELECT *, CAST(i // 5 AS INTEGER) AS side, CAST(i % 5 AS INTEGER) AS j, CASE WHEN i < 5 THEN nation_a ELSE nation_b END AS team FROM games, range(10) r(i))""",
     "draft_events": f"""
-  SELECT series_id, season, t, CAST(i AS INTEGER) AS seq, substr('{SHAPE}', CAST(i AS INTEGER), 1) AS kind, CAST(substr('{SIDES}', CAST(i AS INTEGER), 1) AS INTEGER) AS side,
+  SELECT series_id * 100 + game_number AS draft, series_id, game_number, season, t, CAST(i AS INTEGER) AS seq, substr('{SHAPE}', CAST(i AS INTEGER), 1) AS kind, CAST(substr('{SIDES}', CAST(i AS INTEGER), 1) AS INTEGER) AS side,
     CASE WHEN substr('{SIDES}', CAST(i AS INTEGER), 1) = '0' THEN nation_a ELSE nation_b END AS team, CAST((part * 7 + i * 13) % 120 AS INTEGER) AS hero,
     CASE WHEN winner IS NULL THEN NULL ELSE (winner = 'a') = (substr('{SIDES}', CAST(i AS INTEGER), 1) = '0') END AS won
-  FROM games, range(1, 19) r(i) WHERE game_number = 1""",
+  FROM games, range(1, 19) r(i)""",
 }
 _NEEDS = {"games": ["series"], "appearances": ["games"], "draft_events": ["games"]}
 
