@@ -14,3 +14,17 @@ def rounded(x: Column, digits: int = 6) -> Column:
 
 def rounded_sql(x: str, digits: int = 6) -> str:
     return f"floor(CAST({x} AS DOUBLE) * 1e{digits} + 0.5) / 1e{digits}"
+
+
+def whole(x: Column) -> Column:
+    """x as a whole number of 1e-9: sums of these do not depend on the order of rows."""
+    return F.floor(x.cast("double") * 1e9 + 0.5).cast("long")
+
+
+def exact_mean(x: Column, digits: int = 6) -> Column:
+    """The mean of x over a group, from whole sums, rounded."""
+    return rounded(F.sum(whole(x)) / F.count(x) / 1e9, digits)
+
+
+def exact_mean_sql(x: str, digits: int = 6) -> str:
+    return rounded_sql(f"CAST(sum(CAST(floor(CAST({x} AS DOUBLE) * 1e9 + 0.5) AS BIGINT)) AS DOUBLE) / count({x}) / 1e9", digits)

@@ -136,30 +136,57 @@ def side_diagnostic(series: DataFrame) -> DataFrame:
     return out.select(F.col("level").cast("int").alias("level"), "season", "stage", "n", "wins_a", "rate_a")
 
 
+#: The classes of a refreshed row, in order of precedence, and those that a merge takes without a review.
+CLASSES = ["TEAM_NAME_CONFLICT", "DATE_CONFLICT", "SCORE_CONFLICT", "RESULT_UPDATED", "STATUS_UPDATED", "EXACT_EXISTING", "NEW_SERIES", "UNMATCHED"]
+ACCEPTED = ["RESULT_UPDATED", "STATUS_UPDATED", "EXACT_EXISTING", "NEW_SERIES"]
+DIFFED = ["series_id", "season", "stage", "t", "team_a", "team_b", "score_a", "score_b", "status"]
+
+
 def diff_classes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """A refresh against the existing rows: first by id, then (season, time, unordered pair) where exactly one row is left, then unmatched.
+    """(series_id, o_series_id, match_method, diff_class, detail, season): a refresh (``new``) against the existing rows (``old``).
 
-    class by precedence: TEAM, TIME, SCORE, STATUS, EXACT; NEW for unmatched new rows, GONE for unmatched old ones.
+    Rows match by id, then by season, day and unordered pair of teams where one row is left on either side. Of matched rows the
+    first that holds counts: other teams; another time; both finished with other scores, or a finished one that no longer is; a new
+    result; another status; else the row is as it was. The detail says what changed, a changed stage included. Each side is split
+    into matched and left rows by one flag join; ids are unique on both sides.
     """
-    cols = ["series_id", "season", "t", "team_a", "team_b", "score_a", "score_b", "status"]
-    o = old.select(*[F.col(c).alias(f"o_{c}") for c in cols])
-    n = new.select(*cols)
-    by_id = n.join(o, n.series_id == o.o_series_id)
-    rest_n = n.join(o.select("o_series_id"), n.series_id == F.col("o_series_id"), "left_anti")
-    rest_o = o.join(n.select("series_id"), o.o_series_id == F.col("series_id"), "left_anti")
-    key = lambda p: [F.col(f"{p}season"), F.col(f"{p}t"), F.least(f"{p}team_a", f"{p}team_b"), F.greatest(f"{p}team_a", f"{p}team_b")]
-    kn = rest_n.select("*", *[x.alias(f"k{i}") for i, x in enumerate(key(""))])
-    ko = rest_o.select("*", *[x.alias(f"k{i}") for i, x in enumerate(key("o_"))])
+    o, n = old.select(*[F.col(c).alias(f"o_{c}") for c in DIFFED]), new.select(*DIFFED)
+    flagged_n = n.join(o.select("o_series_id"), n.series_id == F.col("o_series_id"), "left")
+    flagged_o = o.join(n.select("series_id"), o.o_series_id == F.col("series_id"), "left")
+    rest_n, rest_o = flagged_n.where("o_series_id is null").drop("o_series_id"), flagged_o.where("series_id is null").drop("series_id")
+    key = lambda p: [F.col(f"{p}season").alias("k0"), F.floor(F.col(f"{p}t") / 24).alias("k1"), F.least(f"{p}team_a", f"{p}team_b").alias("k2"), F.greatest(f"{p}team_a", f"{p}team_b").alias("k3")]
     ks = [f"k{i}" for i in range(4)]
-    one_n = kn.withColumn("c", F.count("*").over(Window.partitionBy(*ks))).where("c = 1").drop("c")
-    one_o = ko.withColumn("c", F.count("*").over(Window.partitionBy(*ks))).where("c = 1").drop("c")
-    by_key = one_n.join(one_o, ks).drop(*ks)
-    same = lambda *cs: F.lit(True) if not cs else (C.yes(F.col(cs[0]).eqNullSafe(F.col(f"o_{cs[0]}"))) & same(*cs[1:]))
-    kind = F.when(~same("team_a", "team_b"), "TEAM").when(~same("t"), "TIME").when(~same("score_a", "score_b"), "SCORE").when(~same("status"), "STATUS").otherwise("EXACT")
-    matched = by_id.withColumn("via", F.lit("ID")).unionByName(by_key.withColumn("via", F.lit("KEY"))).select("series_id", "o_series_id", "via", kind.alias("diff"))
-    fresh = n.join(matched.select("series_id"), "series_id", "left_anti").select("series_id", F.lit(None).cast("long").alias("o_series_id"), F.lit("NONE").alias("via"), F.lit("NEW").alias("diff"))
-    gone = o.join(matched.select("o_series_id"), "o_series_id", "left_anti").select(F.lit(None).cast("long").alias("series_id"), "o_series_id", F.lit("NONE").alias("via"), F.lit("GONE").alias("diff"))
-    return matched.unionByName(fresh).unionByName(gone)
+    # one row of each side or none: the group's only rows
+    both = rest_n.select(*key(""), F.struct(*DIFFED).alias("n"), F.lit(None).cast(f"struct<{', '.join(f'o_{c}:{dict(old.dtypes)[c]}' for c in DIFFED)}>").alias("o")).unionAll(rest_o.select(*key("o_"), F.lit(None).cast(f"struct<{', '.join(f'{c}:{dict(new.dtypes)[c]}' for c in DIFFED)}>"), F.struct(*[f"o_{c}" for c in DIFFED])))
+    one = both.groupBy(*ks).agg(F.count("n").alias("cn"), F.count("o").alias("co"), F.max("n").alias("n"), F.max("o").alias("o")).where("cn = 1 and co = 1")
+    by_key = one.select("n.*", "o.*", F.lit("FALLBACK_COMPETITION_DATE_TEAMPAIR").alias("match_method"))
+    by_id = n.join(o, n.series_id == o.o_series_id).select(*DIFFED, *[f"o_{c}" for c in DIFFED], F.lit("SOURCE_SERIES_ID").alias("match_method"))
+    paired = by_id.unionByName(by_key)
+    fresh = rest_n.join(by_key.select("series_id"), "series_id", "left_anti").select(*DIFFED, *[F.lit(None).cast(dict(old.dtypes)[c]).alias(f"o_{c}") for c in DIFFED], F.lit("").alias("match_method"))
+    gone = rest_o.join(by_key.select("o_series_id"), "o_series_id", "left_anti").select(*[F.lit(None).cast(dict(new.dtypes)[c]).alias(c) for c in DIFFED], *[f"o_{c}" for c in DIFFED], F.lit("").alias("match_method"))
+    x = paired.unionByName(fresh).unionByName(gone)
+    same = lambda *cs: F.concat_ws("\u001f", *[F.col(c) for c in cs]) == F.concat_ws("\u001f", *[F.col(f"o_{c}") for c in cs])
+    was, done, score = C.yes(F.col("o_status") == 4), C.yes(F.col("status") == 4), same("score_a", "score_b")
+    text = lambda *parts: F.concat(*[F.lit(p[1:]) if p[0] == "'" else F.col(p).cast("string") for p in parts])
+    matched = F.col("match_method") != ""
+    rules = [
+        ("NEW_SERIES", F.col("o_series_id").isNull(), F.lit("")), ("UNMATCHED", F.col("series_id").isNull(), F.lit("existing row not returned by the refreshed source")),
+        ("TEAM_NAME_CONFLICT", ~same("team_a", "team_b"), text("'teams ", "o_team_a", "' vs ", "o_team_b", "' -> ", "team_a", "' vs ", "team_b")), ("DATE_CONFLICT", ~same("t"), text("'start ", "o_t", "' -> ", "t")),
+        ("SCORE_CONFLICT", was & done & ~score, text("'score ", "o_score_a", "'-", "o_score_b", "' -> ", "score_a", "'-", "score_b")), ("SCORE_CONFLICT", was & ~done, text("'completed result retracted: status ", "o_status", "' -> ", "status")),
+        ("RESULT_UPDATED", ~was & done, text("'status ", "o_status", "' -> 4, score ", "score_a", "'-", "score_b")), ("STATUS_UPDATED", ~same("status"), text("'status ", "o_status", "' -> ", "status")),
+    ]
+    kind, detail = F.lit("EXACT_EXISTING"), F.lit("")
+    for name, holds, says in reversed(rules):
+        kind, detail = F.when(holds, name).otherwise(kind), F.when(holds, says).otherwise(detail)
+    stage = F.when(matched & ~same("stage"), text("'stage ", "o_stage", "' -> ", "stage"))
+    return x.select("series_id", "o_series_id", "match_method", kind.alias("diff_class"), F.concat_ws("; ", F.when(detail != "", detail), stage).alias("detail"), F.coalesce("season", "o_season").alias("season"))
+
+
+def refreshed(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The existing rows with what a refresh may change without a review: new series, results and statuses; conflicts leave the old row."""
+    d = diff_classes(old, new).where(F.col("diff_class").isin(ACCEPTED)).select(F.col("series_id").alias("n_id"), "o_series_id")
+    take = new.select(*DIFFED).join(d, F.col("series_id") == F.col("n_id")).drop("n_id")
+    return old.select(*DIFFED).join(take.select(F.col("o_series_id").alias("series_id")), "series_id", "left_anti").unionByName(take.drop("o_series_id"))
 
 
 def merged(old: DataFrame, new: DataFrame, season: str) -> DataFrame:

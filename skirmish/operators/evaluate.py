@@ -6,35 +6,51 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.rounding import rounded
+from ..functions.rounding import exact_mean, rounded, whole
 from .ladders import grouped_logistic
 
 
 def metrics(pred: DataFrame, *keys: str) -> DataFrame:
-    """Per group of ``pred`` (keys, p, y): n, log loss, Brier, accuracy, AUC by average ranks (null for one class)."""
+    """Per group of ``pred`` (keys, p, y): n, log loss, Brier, accuracy, AUC by average ranks, means, calibration error over ten bins.
+
+    Losses are whole sums, so they do not depend on the order of rows. A group of one class has no AUC.
+    """
     per = pred.groupBy(*keys, "p").agg(F.count("*").alias("m"), F.sum("y").alias("pos"))  # ties of p are one row
     below = F.coalesce(F.sum("m").over(Window.partitionBy(*keys).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = per.withColumn("rank", below + (F.col("m") + 1) / 2)
-    q, y1, y0 = C.clip(F.col("p")), F.col("pos"), F.col("m") - F.col("pos")
-    agg = ranked.groupBy(*keys).agg(
-        F.sum("m").alias("n"), F.sum("pos").alias("n1"), F.sum(-(y1 * F.ln(q) + y0 * F.ln(1 - q))).alias("ll"), F.sum(y1 * (1 - F.col("p")) * (1 - F.col("p")) + y0 * F.col("p") * F.col("p")).alias("br"),
-        F.sum(F.when(F.col("p") >= 0.5, y1).otherwise(y0)).alias("hit"), F.sum(y1 * F.col("rank")).alias("r1"), F.sum(F.col("p") * F.col("m")).alias("sp"),
-    )
-    n0, n1 = F.col("n") - F.col("n1"), F.col("n1")
-    auc = F.when((n0 > 0) & (n1 > 0), (F.col("r1") - n1 * (n1 + 1) / 2) / (n0 * n1))
-    return agg.select(*keys, "n", F.round(F.col("ll") / F.col("n"), 6).alias("log_loss"), F.round(F.col("br") / F.col("n"), 6).alias("brier"), F.round(F.col("hit") / F.col("n"), 6).alias("accuracy"), F.round(auc, 6).alias("auc"), F.round(F.col("sp") / F.col("n"), 6).alias("mean_p"), F.round(n1 / F.col("n"), 6).alias("mean_y"))
+    ranked = per.withColumn("rank", below + (F.col("m") + 1) / 2).withColumn("bin", F.least(F.floor(F.col("p") * 10), F.lit(9)))
+    p, y1, y0 = F.col("p"), F.col("pos"), F.col("m") - F.col("pos")
+    q = C.clip(p)
+    sums = {"n": F.sum("m"), "n1": F.sum("pos"), "ll": F.sum(y1 * whole(-F.ln(q)) + y0 * whole(-F.ln(1 - q))), "br": F.sum(y1 * whole((p - 1) * (p - 1)) + y0 * whole(p * p)), "hit": F.sum(F.when(p >= 0.5, y1).otherwise(y0)), "r1": F.sum(y1 * F.col("rank")), "sp": F.sum(whole(p) * F.col("m"))}
+    bins = ranked.groupBy(*keys, "bin").agg(*[c.alias(k) for k, c in sums.items()])
+    gap = F.abs(F.col("sp") - F.col("n1") * 1_000_000_000)  # n times |mean p - rate| of a bin
+    agg = bins.groupBy(*keys).agg(*[F.sum(k).alias(k) for k in sums], F.sum(gap).alias("gap"))
+    n, n1 = F.col("n"), F.col("n1")
+    n0 = n - n1
+    auc = F.when((n0 > 0) & (n1 > 0), F.try_divide(F.col("r1") - n1 * (n1 + 1) / 2, n0 * n1))
+    mean = lambda c: rounded(F.col(c) / n / 1e9).alias({"ll": "log_loss", "br": "brier", "sp": "mean_p", "gap": "ece"}[c])
+    return agg.select(*keys, "n", mean("ll"), mean("br"), rounded(F.col("hit") / n).alias("accuracy"), rounded(auc).alias("auc"), mean("sp"), rounded(n1 / n).alias("mean_y"), mean("gap"))
+
+
+def full_metrics(pred: DataFrame, key: str) -> DataFrame:
+    """``metrics`` with the recalibration's intercept and slope, and a note: neither is estimated for groups of one class or ten rows or fewer."""
+    w = recalibration(pred, key)
+    few = F.col("n") <= 10
+    one = F.col("auc").isNull()
+    note = F.when(one, "ONE_CLASS").when(few, "TOO_FEW_ROWS").otherwise("")
+    x = metrics(pred, key).join(w, key).withColumn("note", note)
+    return x.withColumns({c: F.when(F.col("note") == "", F.col(c)) for c in ("intercept", "slope")})  # a row per group
 
 
 def reliability(pred: DataFrame, bins: int = 10) -> DataFrame:
     """Equal-width bins of p; empty bins are kept with nulls."""
     b = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("int")
-    per = pred.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("mean_p"), F.round(F.avg("y"), 6).alias("rate"))
+    per = pred.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), exact_mean(F.col("p")).alias("mean_p"), exact_mean(F.col("y")).alias("rate"))
     return pred.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(per, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), "mean_p", "rate")
 
 
 def calibration_error(pred: DataFrame, bins: int = 10) -> DataFrame:
     r = reliability(pred, bins)
-    return r.agg(F.round(F.sum(F.col("n") * F.abs(F.col("mean_p") - F.col("rate"))) / F.sum("n"), 6).alias("ece"))
+    return r.agg(rounded(F.sum(F.floor(F.col("n") * F.abs(F.col("mean_p") - F.col("rate")) * 1e6 + 0.5).cast("long")) / F.sum("n") / 1e6).alias("ece"))
 
 
 def paired_difference(pred: DataFrame, reference: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import backbone as B
 from ..sources import adapter as A
+from ..streaming import jobs
 from .base import query
 
 LABEL = """CASE WHEN coalesce(score_a <> score_b, FALSE) AND coalesce(status = 4, FALSE) THEN 'COMPLETED' WHEN coalesce(status = 4, FALSE) THEN 'FINISHED_NO_DECISIVE_SCORE'
@@ -156,38 +157,76 @@ def a25(spark, sf):
 
 
 def _refreshed(s):
-    """A later pull of the source: some rows corrected, some under a new id, some missing, some finished."""
+    """A later pull of the source: some rows corrected, some under a new id, some missing, some finished, some retracted."""
     s = s.where("series_id % 41 <> 0")
     s = s.withColumn("score_a", F.when(F.col("series_id") % 17 == 0, (F.col("score_a") + 1) % 4).otherwise(F.col("score_a")))
     s = s.withColumn("t", F.when(F.col("series_id") % 19 == 0, F.col("t") + 24).otherwise(F.col("t"))).withColumn("team_b", F.when(F.col("series_id") % 23 == 0, F.concat("team_b", F.lit("!"))).otherwise(F.col("team_b")))
-    s = s.withColumn("status", F.when(F.col("series_id") % 29 == 0, 4).otherwise(F.col("status")))
+    s = s.withColumn("status", F.when(F.col("series_id") % 29 == 0, 4).when(F.col("series_id") % 37 == 0, 2).otherwise(F.col("status"))).withColumn("stage", F.when(F.col("series_id") % 43 == 0, "5-LOW").otherwise(F.col("stage")))
     return s.withColumn("series_id", F.when(F.col("series_id") % 31 == 0, F.col("series_id") + 10_000_000).otherwise(F.col("series_id")))
 
 
 REFRESHED = """
-neu AS (SELECT CASE WHEN series_id % 31 = 0 THEN series_id + 10000000 ELSE series_id END AS series_id, season, CASE WHEN series_id % 19 = 0 THEN t + 24 ELSE t END AS t, team_a,
-  CASE WHEN series_id % 23 = 0 THEN team_b || '!' ELSE team_b END AS team_b, CASE WHEN series_id % 17 = 0 THEN (score_a + 1) % 4 ELSE score_a END AS score_a, score_b, CASE WHEN series_id % 29 = 0 THEN 4 ELSE status END AS status
+neu AS (SELECT CASE WHEN series_id % 31 = 0 THEN series_id + 10000000 ELSE series_id END AS series_id, season, CASE WHEN series_id % 43 = 0 THEN '5-LOW' ELSE stage END AS stage, CASE WHEN series_id % 19 = 0 THEN t + 24 ELSE t END AS t, team_a,
+  CASE WHEN series_id % 23 = 0 THEN team_b || '!' ELSE team_b END AS team_b, CASE WHEN series_id % 17 = 0 THEN (score_a + 1) % 4 ELSE score_a END AS score_a, score_b, CASE WHEN series_id % 29 = 0 THEN 4 WHEN series_id % 37 = 0 THEN 2 ELSE status END AS status
   FROM series WHERE series_id % 41 <> 0)"""
-
-
-@query("j07_refresh_diff", "series", f"""
-WITH {REFRESHED},
-rn AS (SELECT *, count(*) OVER (PARTITION BY season, t, least(team_a, team_b), greatest(team_a, team_b)) AS c FROM neu WHERE series_id NOT IN (SELECT series_id FROM series)),
-ro AS (SELECT *, count(*) OVER (PARTITION BY season, t, least(team_a, team_b), greatest(team_a, team_b)) AS c FROM series WHERE series_id NOT IN (SELECT series_id FROM neu)),
-m AS (SELECT n.series_id, o.series_id AS o_id, 'ID' AS via, n.team_a = o.team_a AND n.team_b = o.team_b AS e1, n.t = o.t AS e2, n.score_a = o.score_a AND n.score_b = o.score_b AS e3, n.status = o.status AS e4 FROM neu n JOIN series o ON n.series_id = o.series_id
- UNION ALL SELECT n.series_id, o.series_id, 'KEY', n.team_a = o.team_a AND n.team_b = o.team_b, n.t = o.t, n.score_a = o.score_a AND n.score_b = o.score_b, n.status = o.status FROM rn n JOIN ro o ON n.c = 1 AND o.c = 1 AND n.season = o.season AND n.t = o.t
-   AND least(n.team_a, n.team_b) = least(o.team_a, o.team_b) AND greatest(n.team_a, n.team_b) = greatest(o.team_a, o.team_b))
-SELECT series_id, o_id AS o_series_id, via, CASE WHEN NOT e1 THEN 'TEAM' WHEN NOT e2 THEN 'TIME' WHEN NOT e3 THEN 'SCORE' WHEN NOT e4 THEN 'STATUS' ELSE 'EXACT' END AS diff FROM m
-UNION ALL SELECT series_id, NULL, 'NONE', 'NEW' FROM neu WHERE series_id NOT IN (SELECT series_id FROM m)
-UNION ALL SELECT NULL, series_id, 'NONE', 'GONE' FROM series WHERE series_id NOT IN (SELECT o_id FROM m)""")
+_COUNTED = "count(*) OVER (PARTITION BY season, floor(t / 24.0), least(team_a, team_b), greatest(team_a, team_b)) AS c"
+DIFF = f"""{REFRESHED},
+rn AS (SELECT *, {_COUNTED} FROM neu WHERE series_id NOT IN (SELECT series_id FROM series)), ro AS (SELECT *, {_COUNTED} FROM series WHERE series_id NOT IN (SELECT series_id FROM neu)),
+mt AS (SELECT n.series_id, o.series_id AS o_id, 'SOURCE_SERIES_ID' AS via FROM neu n JOIN series o ON n.series_id = o.series_id UNION ALL SELECT n.series_id, o.series_id, 'FALLBACK_COMPETITION_DATE_TEAMPAIR' FROM rn n JOIN ro o ON n.c = 1 AND o.c = 1 AND n.season = o.season AND floor(n.t / 24.0) = floor(o.t / 24.0) AND least(n.team_a, n.team_b) = least(o.team_a, o.team_b) AND greatest(n.team_a, n.team_b) = greatest(o.team_a, o.team_b)),
+mm AS (SELECT mt.*, n.season, n.stage <> o.stage AS restaged, CASE WHEN n.team_a <> o.team_a OR n.team_b <> o.team_b THEN 'TEAM_NAME_CONFLICT' WHEN n.t <> o.t THEN 'DATE_CONFLICT' WHEN o.status = 4 AND (n.status <> 4 OR n.score_a <> o.score_a OR n.score_b <> o.score_b) THEN 'SCORE_CONFLICT' WHEN o.status <> 4 AND n.status = 4 THEN 'RESULT_UPDATED' WHEN o.status <> n.status THEN 'STATUS_UPDATED' ELSE 'EXACT_EXISTING' END AS class,
+ o.team_a AS oa, o.team_b AS ob, n.team_a AS na, n.team_b AS nb, o.t AS ot, n.t AS nt, o.score_a AS osa, o.score_b AS osb, n.score_a AS nsa, n.score_b AS nsb, o.status AS os, n.status AS ns, o.stage AS og, n.stage AS ng FROM mt JOIN neu n ON n.series_id = mt.series_id JOIN series o ON o.series_id = mt.o_id),
+df AS (SELECT series_id, o_id AS o_series_id, via AS match_method, class AS diff_class, concat_ws('; ', CASE class WHEN 'TEAM_NAME_CONFLICT' THEN 'teams ' || oa || ' vs ' || ob || ' -> ' || na || ' vs ' || nb WHEN 'DATE_CONFLICT' THEN 'start ' || ot || ' -> ' || nt WHEN 'SCORE_CONFLICT' THEN CASE WHEN ns = 4 THEN 'score ' || osa || '-' || osb || ' -> ' || nsa || '-' || nsb ELSE 'completed result retracted: status ' || os || ' -> ' || ns END
+  WHEN 'RESULT_UPDATED' THEN 'status ' || os || ' -> 4, score ' || nsa || '-' || nsb WHEN 'STATUS_UPDATED' THEN 'status ' || os || ' -> ' || ns END, CASE WHEN restaged THEN 'stage ' || og || ' -> ' || ng END) AS detail, season FROM mm
+ UNION ALL SELECT series_id, NULL, '', 'NEW_SERIES', '', season FROM neu WHERE series_id NOT IN (SELECT series_id FROM mt) UNION ALL SELECT NULL, series_id, '', 'UNMATCHED', 'existing row not returned by the refreshed source', season FROM series WHERE series_id NOT IN (SELECT o_id FROM mt))"""
+
+
+@query("j07_refresh_diff", "series", f"WITH {DIFF} SELECT * FROM df")
 def j07(spark, sf):
+    """Every row of a refresh and of the existing table with its class (J7, J8)."""
     s = A.series(spark, sf)
     return B.diff_classes(s, _refreshed(s))
 
 
+@query("j08_refresh_classes", "series", f"WITH {DIFF} SELECT season, diff_class, match_method, count(*) AS n FROM df GROUP BY ROLLUP (season, diff_class, match_method)")
+def j08(spark, sf):
+    s = A.series(spark, sf)
+    return B.diff_classes(s, _refreshed(s)).rollup("season", "diff_class", "match_method").agg(F.count("*").alias("n"))
+
+
+@query("st3_refreshed_table", "series", f"""
+WITH {DIFF}, ok AS (SELECT * FROM df WHERE diff_class IN ('RESULT_UPDATED', 'STATUS_UPDATED', 'EXACT_EXISTING', 'NEW_SERIES')), x AS (SELECT series_id, season, stage, t, status, score_a, score_b FROM series WHERE series_id NOT IN (SELECT o_series_id FROM ok WHERE o_series_id IS NOT NULL) UNION ALL SELECT neu.series_id, neu.season, stage, t, status, score_a, score_b FROM neu JOIN ok USING (series_id))
+SELECT series_id, season, stage, t, status, score_a, score_b FROM x""")
+def st3(spark, sf):
+    """The table after a refresh that arrives as a stream of many micro-batches; conflicts leave the old rows."""
+    s = A.series(spark, sf).select(*B.DIFFED)
+    return jobs.refresh_stream(s, _refreshed(A.series(spark, sf)).select(*B.DIFFED)).select("series_id", "season", "stage", "t", "status", "score_a", "score_b")
+
+
+@query("j02_raw_names_kept", "series registry", f"WITH {CANONICAL} SELECT count(*) AS n, count(*) FILTER (c.team_a = s.team_a AND c.team_b = s.team_b) AS kept FROM canonical c JOIN series s USING (series_id)")
+def j02(spark, sf):
+    """The canonical table keeps every series' names as they were observed."""
+    s = A.series(spark, sf)
+    c = B.canonical(s, A.registry(spark, sf)).select("series_id", F.col("team_a").alias("ca"), F.col("team_b").alias("cb"))
+    x = c.join(s.select("series_id", "team_a", "team_b"), "series_id")
+    return x.agg(F.count("*").alias("n"), F.count_if((F.col("ca") == F.col("team_a")) & (F.col("cb") == F.col("team_b"))).alias("kept"))
+
+
+@query("p19_stage_family", "series", "SELECT CASE WHEN stage IN ('1-URGENT', '2-HIGH') THEN 'PLAYOFF' WHEN stage IN ('3-MEDIUM', '4-NOT SPECIFIED') THEN 'GROUP' ELSE 'OTHER' END AS family, season, count(*) AS n FROM series GROUP BY 1, 2")
+def p19(spark, sf):
+    """Stages by family."""
+    family = F.when(F.col("stage").isin("1-URGENT", "2-HIGH"), "PLAYOFF").when(F.col("stage").isin("3-MEDIUM", "4-NOT SPECIFIED"), "GROUP").otherwise("OTHER")
+    return A.series(spark, sf).groupBy(family.alias("family"), "season").agg(F.count("*").alias("n"))
+
+
+@query("a02_anomalies", "series", f"SELECT series_id, season, status, score_a, score_b, {LABEL} AS label_flag FROM series WHERE ({LABEL}) <> 'COMPLETED'")
+def a02(spark, sf):
+    """The rows without a label, as they are, for a person."""
+    return B.labelled(A.series(spark, sf)).where("label_flag <> 'COMPLETED'").select("series_id", "season", "status", "score_a", "score_b", "label_flag")
+
+
 @query("so6_replace_season", "series", f"WITH {REFRESHED}, x AS (SELECT series_id, season, status FROM series WHERE season <> 'L1999S1' UNION ALL SELECT series_id, season, status FROM neu WHERE season = 'L1999S1') SELECT season, status, count(*) AS n, CAST(sum(series_id) AS BIGINT) AS id_sum FROM x GROUP BY 1, 2")
 def so6(spark, sf):
-    s = A.series(spark, sf).select("series_id", "season", "t", "team_a", "team_b", "score_a", "score_b", "status")
+    s = A.series(spark, sf).select(*B.DIFFED)
     return B.merged(s, _refreshed(s), "L1999S1").groupBy("season", "status").agg(F.count("*").alias("n"), F.sum("series_id").alias("id_sum"))
 
 

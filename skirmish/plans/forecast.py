@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.rounding import exact_mean, exact_mean_sql, rounded_sql
 from ..operators import backbone as B
 from ..operators import evaluate as E
 from ..operators import ratings as R
@@ -12,6 +13,7 @@ from ..operators import tournament as T
 from ..sources import adapter as A
 from .backbone import LABEL, ORDER
 from .base import query
+from .fitsql import newton
 
 ROWS = f"rows AS (SELECT series_id, t, season, CAST(nation_a AS BIGINT) AS a, CAST(nation_b AS BIGINT) AS b, CAST(score_a > score_b AS INTEGER) AS y FROM series WHERE ({LABEL}) = 'COMPLETED' AND nation_a <> nation_b)"
 #: The recursive SQL walks one row per batch of equal times; it carries all ratings in a map.
@@ -83,22 +85,26 @@ LL = f"-CASE WHEN y = 1 THEN ln({CLIP}) ELSE ln(1 - {CLIP}) END"
 
 
 @query("m01_metrics", "series", f"""
-WITH {PRED}, r AS (SELECT *, rank() OVER (PARTITION BY season ORDER BY p) + (count(*) OVER (PARTITION BY season, p) - 1) / 2.0 AS rk FROM pred)
-SELECT season, count(*) AS n, round(avg({LL}), 6) AS log_loss, round(avg((p - y) * (p - y)), 6) AS brier, round(avg(CAST((p >= 0.5) = (y = 1) AS INTEGER)), 6) AS accuracy,
- CASE WHEN sum(y) > 0 AND sum(1 - y) > 0 THEN round((sum(rk) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)), 6) END AS auc, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS mean_y FROM r GROUP BY season""")
+WITH RECURSIVE {PRED}, r AS (SELECT *, rank() OVER (PARTITION BY season ORDER BY p) + (count(*) OVER (PARTITION BY season, p) - 1) / 2.0 AS rk FROM pred),
+mx AS MATERIALIZED (SELECT season, ln({CLIP} / (1 - {CLIP})) AS x, y FROM pred), {newton("mx", "season", ["1.0", "x"], [0.0, 0.0], 12, start=[0.0, 1.0])},
+eb AS (SELECT season, abs(sum(CAST(floor(p * 1e9 + 0.5) AS BIGINT)) - sum(y) * 1000000000) AS gap FROM pred GROUP BY season, least(floor(p * 10), 9)), ec AS (SELECT season, CAST(sum(gap) AS DOUBLE) AS gap FROM eb GROUP BY season),
+mm AS (SELECT season, count(*) AS n, {exact_mean_sql(f'({LL})')} AS log_loss, {exact_mean_sql('((p - y) * (p - y))')} AS brier, {rounded_sql('CAST(count(*) FILTER ((p >= 0.5) = (y = 1)) AS DOUBLE) / count(*)')} AS accuracy,
+ CASE WHEN sum(y) > 0 AND sum(1 - y) > 0 THEN {rounded_sql('(sum(rk) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y))')} END AS auc, {exact_mean_sql('p')} AS mean_p, {rounded_sql('CAST(sum(y) AS DOUBLE) / count(*)')} AS mean_y FROM r GROUP BY season),
+mn AS (SELECT mm.*, {rounded_sql('gap / n / 1e9')} AS ece, CASE WHEN auc IS NULL THEN 'ONE_CLASS' WHEN n <= 10 THEN 'TOO_FEW_ROWS' ELSE '' END AS note FROM mm JOIN ec USING (season))
+SELECT mn.*, CASE WHEN note = '' THEN {rounded_sql('w0', 4)} END AS intercept, CASE WHEN note = '' THEN {rounded_sql('w1', 4)} END AS slope FROM mn JOIN fit USING (season)""")
 def m01(spark, sf):
-    return E.metrics(win_predictions(spark, sf), "season")
+    return E.full_metrics(win_predictions(spark, sf), "season")
 
 
 @query("m03_reliability", "series", f"""
-WITH {PRED}, b AS (SELECT CAST(least(floor(p * 10), 9) AS INTEGER) AS bin, p, y FROM pred)
-SELECT CAST(i AS INTEGER) AS bin, count(p) AS n, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS rate FROM range(10) r(i) LEFT JOIN b ON b.bin = i GROUP BY 1""")
+WITH {PRED}, b AS (SELECT CAST(least(floor(p * 10), 9) AS INTEGER) AS bin, p, y FROM pred), g AS (SELECT bin, count(*) AS n, {exact_mean_sql('p')} AS mean_p, {exact_mean_sql('y')} AS rate FROM b GROUP BY bin)
+SELECT CAST(i AS INTEGER) AS bin, coalesce(n, 0) AS n, mean_p, rate FROM range(10) r(i) LEFT JOIN g ON g.bin = i""")
 def m03(spark, sf):
     return E.reliability(win_predictions(spark, sf))
 
 
 @query("m04_calibration_error", "series", f"""
-WITH {PRED}, b AS (SELECT least(floor(p * 10), 9) AS bin, count(*) AS n, round(avg(p), 6) AS mp, round(avg(y), 6) AS my FROM pred GROUP BY 1) SELECT round(sum(n * abs(mp - my)) / sum(n), 6) AS ece FROM b""")
+WITH {PRED}, b AS (SELECT least(floor(p * 10), 9) AS bin, count(*) AS n, {exact_mean_sql('p')} AS mp, {exact_mean_sql('y')} AS my FROM pred GROUP BY 1) SELECT {rounded_sql("CAST(sum(CAST(floor(n * abs(mp - my) * 1e6 + 0.5) AS BIGINT)) AS DOUBLE) / sum(n) / 1e6")} AS ece FROM b""")
 def m04(spark, sf):
     return E.calibration_error(win_predictions(spark, sf))
 
@@ -131,12 +137,12 @@ def m10(spark, sf):
 
 @query("a49_favourite_bins", "series", f"""
 WITH {PRED}, f AS (SELECT greatest(p, 1 - p) AS q, CASE WHEN p >= 0.5 THEN y ELSE 1 - y END AS won FROM pred)
-SELECT CASE WHEN q < 0.55 THEN '50-55' WHEN q < 0.6 THEN '55-60' WHEN q < 0.7 THEN '60-70' ELSE '70+' END AS bin, count(*) AS n, round(avg(q), 6) AS mean_q, round(avg(won), 6) AS rate FROM f GROUP BY 1""")
+SELECT CASE WHEN q < 0.55 THEN '50-55' WHEN q < 0.6 THEN '55-60' WHEN q < 0.7 THEN '60-70' ELSE '70+' END AS bin, count(*) AS n, {exact_mean_sql('q')} AS mean_q, {exact_mean_sql('won')} AS rate FROM f GROUP BY 1""")
 def a49(spark, sf):
     q = F.greatest(F.col("p"), 1 - F.col("p"))
     f = win_predictions(spark, sf).select(q.alias("q"), F.when(F.col("p") >= 0.5, F.col("y")).otherwise(1 - F.col("y")).alias("won"))
     b = F.when(F.col("q") < 0.55, "50-55").when(F.col("q") < 0.6, "55-60").when(F.col("q") < 0.7, "60-70").otherwise("70+")
-    return f.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("q"), 6).alias("mean_q"), F.round(F.avg("won"), 6).alias("rate"))
+    return f.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), exact_mean(F.col("q")).alias("mean_q"), exact_mean(F.col("won")).alias("rate"))
 
 
 @query("l01_train_only_scaling", "series", f"""

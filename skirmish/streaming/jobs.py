@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import backbone
+from ..sources.store import shared_dir
+
 
 def event_stream(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
     """The table as a stream; event times are UTC timestamps, for watermarks reject timestamps without a zone."""
@@ -45,6 +48,36 @@ def upsert(target: dict, path: str):
     return merge
 
 
+def refresh_stream(base: DataFrame, refresh: DataFrame, files: int = 8) -> DataFrame:
+    """``base`` after ``refresh`` arrived as a stream of ``files`` files, one a micro-batch; see ``refresh_sink``."""
+    spark = base.sparkSession
+    where = f"{shared_dir(spark)}/skirmish-refresh-{uuid.uuid4().hex}"
+    refresh.repartition(files, "series_id").write.parquet(f"{where}/in")
+    stream, target = spark.readStream.schema(refresh.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in"), {}
+    q = stream.withColumn("at", F.lit(0).cast("long")).writeStream.foreachBatch(refresh_sink(target, f"{where}/latest")).option("checkpointLocation", f"{where}/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return backbone.refreshed(base, spark.read.parquet(target["at"])) if target else base
+
+
+def refresh_sink(target: dict, path: str):
+    """A foreachBatch sink that keeps the latest version (``at``) of every refreshed series; equal times keep the greater row.
+
+    A table after the refresh is a function of the base and of these versions alone (``backbone.refreshed``, ``diff_classes``): so any
+    split of the input into micro-batches gives the same classes and rows, and a batch that runs again changes nothing.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = batch if target.get("at") is None else batch.unionByName(spark.read.parquet(target["at"]))
+        own = [c for c in batch.columns if c not in ("series_id", "at")]
+        latest = rows.groupBy("series_id").agg(F.max(F.struct("at", *own)).alias("v")).select("series_id", "v.*")
+        place = f"{path}/v{number}"
+        latest.write.mode("overwrite").parquet(place)
+        target["at"] = place
+
+    return merge
+
+
 STATE = "ratings string"
 OUT = "league string, series_id long, p double"
 
