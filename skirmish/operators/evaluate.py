@@ -64,13 +64,13 @@ def paired_difference(pred: DataFrame, reference: str) -> DataFrame:
 def block_bootstrap(pred: DataFrame, draws: int, seed: str = "1") -> DataFrame:
     """Season-block bootstrap of the mean loss: seasons are drawn with replacement by hashed uniforms; rows are never multiplied,
     for a season enters as its sum and count. Returns the mean and the 2.5 and 97.5 percentiles over draws."""
-    per = pred.groupBy("season").agg(F.sum(C.log_loss(F.col("y"), F.col("p"))).alias("s"), F.count("*").alias("n"))
+    per = pred.groupBy("season").agg(F.sum(whole(C.log_loss(F.col("y"), F.col("p")))).alias("s"), F.count("*").alias("n"))
     order = per.withColumn("i", (F.row_number().over(Window.orderBy("season")) - 1).cast("long"))  # a row per season
     k = order.agg(F.count("*").alias("k"))
     picks = pred.sparkSession.range(draws).withColumnRenamed("id", "draw").join(F.broadcast(k)).withColumn("slot", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k"))))
     picks = picks.withColumn("i", F.floor(C.uniform(F.col("draw"), F.col("slot"), seed=seed) * F.col("k")).cast("long"))
-    means = picks.join(F.broadcast(order), "i").groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("m"))  # seasons are few
-    return means.agg(F.count("*").alias("draws"), F.round(F.avg("m"), 6).alias("mean"), F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"))
+    means = picks.join(F.broadcast(order), "i").groupBy("draw").agg((F.sum("s") / F.sum("n") / 1e9).alias("m"))  # seasons are few
+    return means.agg(F.count("*").alias("draws"), rounded(F.avg("m")).alias("mean"), rounded(F.percentile("m", F.lit(0.025))).alias("low"), rounded(F.percentile("m", F.lit(0.975))).alias("high"))
 
 
 def recalibration(pred: DataFrame, key: str, steps: int = 12, digits: int = 4) -> DataFrame:

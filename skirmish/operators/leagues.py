@@ -132,41 +132,43 @@ def player_fold(pdf: pd.DataFrame, league: str, c: dict) -> pd.DataFrame:
     """Player ratings: a side's strength is the mean of its players' ratings, each drawn to the start by n / (n + m) games. P2
     expects from both sides, P1 from a side against the start. Per series: both strengths and p before it. ``mode`` game updates
     with every decided game's line-ups, series with all who played and the series' result. Series of one time see each other
-    only if they come later in order, so they are rated together and updated after."""
-    r, n, out = {}, {}, []
-
-    def eff(p):
-        k = n.get(p, 0)
-        return START + (r.get(p, START) - START) * k / (k + c["m"]) if c["m"] else r.get(p, START)
-
-    def strength(ps):
-        return sum(map(eff, ps)) / len(ps) if len(ps) else START
-
-    def update(la, lb, y):
-        sa, sb = strength(la), strength(lb)
-        ea, eb = (expected(sa, sb), expected(sb, sa)) if c["variant"] == "P2" else (expected(sa, START), expected(sb, START))
-        for ps, w, e in ((la, y, ea), (lb, 1 - y, eb)):
-            for p in ps:
-                r[p], n[p] = r.get(p, START) + c["k"] * (w - e), n.get(p, 0) + 1
-
-    i, rows = 0, list(pdf.itertuples())
-    while i < len(rows):
-        j = i
-        while j < len(rows) and rows[j].t == rows[i].t:
-            j += 1
-        for s in rows[i:j]:
-            a = sorted({p for g in s.games for p in g["la"]})
-            b = sorted({p for g in s.games for p in g["lb"]})
-            core = [np.array([eff(p) for p in ps]) for ps in (a, b)]
-            gap = core[0].mean() - core[1].mean() if len(a) and len(b) else np.nan
-            out.append((c["name"], league, s.series_id, strength(a), strength(b), expected(strength(a), strength(b)), *[f(x) if len(x) else np.nan for x in core for f in (np.max, np.min, np.std)], gap))
-        for s in rows[i:j]:
+    only if they come later in order, so they are rated together and updated after.
+
+    Players are numbers into two arrays, the points above the start and the games; a batch of equal times is read as a whole.
+    """
+    lines = [[(list(g["la"]), list(g["lb"]), g["y"]) for g in games] for games in pdf.games]
+    number = {p: i for i, p in enumerate(sorted({p for games in lines for la, lb, _ in games for p in (*la, *lb)}))}
+    points, seen = np.zeros(len(number)), np.zeros(len(number))
+    rows = np.zeros((len(pdf), 10))
+    places = lambda who: np.array([number[p] for p in who], int)
+
+    def drawn(who: np.ndarray) -> np.ndarray:
+        return points[who] * (seen[who] / (seen[who] + c["m"]) if c["m"] else 1.0)
+
+    def learn(sides: list[np.ndarray], result: np.ndarray) -> None:
+        own = np.array([drawn(s).mean() for s in sides])
+        against = own[::-1] if c["variant"] == "P2" else np.zeros(2)
+        gain = c["k"] * (result - 1 / (1 + 10 ** ((against - own) / SCALE)))
+        for s, g in zip(sides, gain):
+            np.add.at(points, s, g)
+            np.add.at(seen, s, 1)
+
+    times = pdf.t.to_numpy()
+    starts = np.flatnonzero(np.diff(times, prepend=times[:1] - 1)) if len(times) else []
+    for first, last in zip(starts, [*starts[1:], len(times)]):
+        batch = range(first, last)
+        squads = [[places(sorted({p for game in lines[i] for p in game[k]})) for k in (0, 1)] for i in batch]
+        for i, squad in zip(batch, squads):
+            levels = [drawn(s) for s in squad]
+            mean = np.array([x.mean() if len(x) else 0.0 for x in levels])
+            spread = [v for x in levels for v in ((x.max() + START, x.min() + START, x.std()) if len(x) else (np.nan,) * 3)]
+            rows[i] = [*(START + mean), expected(*mean), *spread, mean[0] - mean[1] if all(map(len, levels)) else np.nan]
+        for i, squad in zip(batch, squads):
             if c["mode"] == "game":
-                for g in s.games:
-                    if not pd.isna(g["y"]) and len(g["la"]) and len(g["lb"]):
-                        update(list(g["la"]), list(g["lb"]), int(g["y"]))
-            elif s.y is not None and not pd.isna(s.y):
-                update(sorted({p for g in s.games for p in g["la"]}), sorted({p for g in s.games for p in g["lb"]}), int(s.y))
-        i = j
-    names = ["name", "league", "series_id", "strength_a", "strength_b", "p", "max_a", "min_a", "std_a", "max_b", "min_b", "std_b", "gap"]
-    return pd.DataFrame(out, columns=names)
+                decided = [([places(la), places(lb)], y) for la, lb, y in lines[i] if not pd.isna(y) and la and lb]
+            else:
+                decided = [] if pd.isna(pdf.y.iloc[i]) or not all(map(len, squad)) else [(squad, pdf.y.iloc[i])]
+            for sides, y in decided:
+                learn(sides, np.array([y, 1 - y], float))
+    names = ["strength_a", "strength_b", "p", "max_a", "min_a", "std_a", "max_b", "min_b", "std_b", "gap"]
+    return pd.concat([pd.DataFrame({"name": c["name"], "league": league, "series_id": pdf.series_id.to_numpy()}), pd.DataFrame(rows, columns=names)], axis=1)

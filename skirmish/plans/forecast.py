@@ -120,10 +120,10 @@ def m17(spark, sf):
 
 
 @query("m14_block_bootstrap", "series", f"""
-WITH {PRED}, sea AS (SELECT season, sum({LL}) AS s, count(*) AS n, row_number() OVER (ORDER BY season) - 1 AS i FROM pred GROUP BY season), kk AS (SELECT count(*) AS k FROM sea),
+WITH {PRED}, sea AS (SELECT season, CAST(sum(CAST(floor(({LL}) * 1e9 + 0.5) AS BIGINT)) AS BIGINT) AS s, count(*) AS n, row_number() OVER (ORDER BY season) - 1 AS i FROM pred GROUP BY season), kk AS (SELECT count(*) AS k FROM sea),
 d AS (SELECT draw, slot, CAST(floor(CAST(('0x' || substr(md5(draw || '|' || slot || '|1'), 1, 8)) AS BIGINT) / 4294967296.0 * k) AS BIGINT) AS i FROM range(500) a(draw), kk, range(1, 1000) b(slot) WHERE slot <= k),
-m AS (SELECT draw, sum(s) / sum(n) AS m FROM d JOIN sea USING (i) GROUP BY draw)
-SELECT count(*) AS draws, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""")
+m AS (SELECT draw, CAST(sum(s) AS DOUBLE) / sum(n) / 1e9 AS m FROM d JOIN sea USING (i) GROUP BY draw)
+SELECT count(*) AS draws, {rounded_sql('avg(m)')} AS mean, {rounded_sql('quantile_cont(m, 0.025)')} AS low, {rounded_sql('quantile_cont(m, 0.975)')} AS high FROM m""")
 def m14(spark, sf):
     return E.block_bootstrap(win_predictions(spark, sf), 500)
 
