@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators import backbone
 from ..sources.store import shared_dir
@@ -78,32 +80,66 @@ def refresh_sink(target: dict, path: str):
     return merge
 
 
-STATE = "ratings string"
-OUT = "league string, series_id long, p double"
+OUT = "league string, series_id long, t timestamp, p double, late boolean"
 
 
-def online_elo(k: float):
-    """State function for ``applyInPandasWithState``: rows of a league in order of time; equal times are one batch."""
-    import json
-
-    def step(key: tuple, frames, state: GroupState):
-        rating = json.loads(state.get[0]) if state.exists else {}
-        rows = pd.concat(list(frames)).sort_values(["t", "series_id"])
-        for _, batch in rows.groupby("t", sort=True):
-            out, change = [], {}
-            for r in batch.itertuples():
-                a, b = str(r.a), str(r.b)
-                p = 1 / (1 + 10 ** ((rating.get(b, 1500.0) - rating.get(a, 1500.0)) / 400))
-                out.append((key[0], r.series_id, p))
-                d = k * (r.y - p)
-                change[a], change[b] = change.get(a, 0.0) + d, change.get(b, 0.0) - d
-            for team, d in change.items():
-                rating[team] = rating.get(team, 1500.0) + d
-            yield pd.DataFrame(out, columns=["league", "series_id", "p"])
-        state.update((json.dumps(rating),))
-
-    return step
+class OnlineRatings(StatefulProcessor):
+    """Predict-then-update ratings of a league: rows wait until the watermark passes their time, then all rows of that time, whichever
+    micro-batches brought them, are predicted from the state before them and only then learned from.
 
+    Spark leaves out rows behind the watermark and counts them in the query's progress (numRowsDroppedByWatermark); one that passed
+    in between comes out without p, marked late. Neither changes anything. State: a rating per team, the waiting rows by time.
+    """
 
-def rate_stream(stream: DataFrame, k: float = 32.0) -> DataFrame:
-    return stream.groupBy("league").applyInPandasWithState(online_elo(k), OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    def __init__(self, k: float = 32.0, start: float = 1500.0, scale: float = 400.0):
+        self.k, self.start, self.scale = k, start, scale
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.rating = handle.getMapState("rating", "team long", "r double")
+        self.waiting = handle.getMapState("waiting", "ms long", "rows string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        passed, late = timerValues.getCurrentWatermarkInMs(), []
+        for frame in rows:
+            ms = (pd.to_datetime(frame.t, utc=True).astype("int64") // (1_000_000 if str(frame.t.dtype).startswith("datetime64[ns") else 1_000)).to_numpy()
+            for when in np.unique(ms):
+                own = frame[ms == when]
+                if when <= passed:
+                    late.append(pd.DataFrame({"league": key[0], "series_id": own.series_id, "t": own.t, "p": None, "late": True}))
+                    continue
+                held = json.loads(self.waiting.getValue((int(when),))[0]) if self.waiting.containsKey((int(when),)) else []
+                if not held:
+                    self.handle.registerTimer(int(when))
+                held += [[int(r.series_id), int(r.a), int(r.b), int(r.y)] for r in own.itertuples()]
+                self.waiting.updateValue((int(when),), (json.dumps(held),))
+        yield from late
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs()
+        due = sorted(ms for (ms,) in self.waiting.keys() if ms <= passed)  # timers may come in any order; times may not
+        for ms in due:
+            rows = sorted(json.loads(self.waiting.getValue((ms,))[0]))
+            self.waiting.removeKey((ms,))
+            teams = {team for _, a, b, _ in rows for team in (a, b)}
+            before = {team: self.rating.getValue((team,))[0] if self.rating.containsKey((team,)) else self.start for team in teams}
+            p = [1 / (1 + 10 ** ((before[b] - before[a]) / self.scale)) for _, a, b, _ in rows]
+            after = dict(before)
+            for (_, a, b, y), q in zip(rows, p):
+                after[a] += self.k * (y - q)
+                after[b] -= self.k * (y - q)
+            for team, r in after.items():
+                self.rating.updateValue((team,), (r,))
+            yield pd.DataFrame({"league": key[0], "series_id": [r[0] for r in rows], "t": pd.Timestamp(ms, unit="ms"), "p": p, "late": False})
+
+    def close(self) -> None:
+        pass
+
+
+def rate_stream(stream: DataFrame, k: float = 32.0, late: str = "1 hour") -> DataFrame:
+    """(league, series_id, t, p, late) of a stream of (league, series_id, t timestamp, a, b, y); see ``OnlineRatings``.
+
+    The last times come out when later rows have moved the watermark past them. The state lives in RocksDB.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return stream.withWatermark("t", late).groupBy("league").transformWithStateInPandas(OnlineRatings(k), OUT, "Append", "EventTime")

@@ -36,10 +36,15 @@ def test_ranks_do_not_depend_on_partitions(spark):
 
 
 def test_refresh_classes(spark):
-    old = make(spark, [(1, "S", "x", 1, "A", "B", 1, 0, 4), (2, "S", "x", 2, "A", "B", 1, 0, 4), (3, "S", "x", 3, "A", "B", 1, 0, 4), (4, "S", "x", 4, "A", "B", 1, 0, 4)])
-    new = make(spark, [(1, "S", "x", 1, "A", "B", 1, 0, 4), (2, "S", "x", 2, "A", "B", 2, 0, 4), (30, "S", "x", 3, "B", "A", 1, 0, 4), (50, "S", "x", 9, "A", "B", 1, 0, 4)])
-    got = {(r.series_id, r.o_series_id): (r.via, r.diff) for r in B.diff_classes(old, new).collect()}
-    assert got == {(1, 1): ("ID", "EXACT"), (2, 2): ("ID", "SCORE"), (30, 3): ("KEY", "TEAM"), (50, None): ("NONE", "NEW"), (None, 4): ("NONE", "GONE")}
+    day = 24
+    old = make(spark, [(1, "S", "x", 1, "A", "B", 1, 0, 4), (2, "S", "x", 2, "A", "B", 1, 0, 4), (3, "S", "x", 3 * day, "A", "B", 1, 0, 4), (4, "S", "x", 4 * day, "A", "B", 1, 0, 4), (5, "S", "x", 5, "A", "B", 1, 0, 4), (6, "S", "x", 6, "A", "B", 0, 0, 1), (7, "S", "x", 7, "A", "B", 0, 0, 1), (8, "S", "x", 8, "A", "C", 1, 0, 4), (9, "S", "x", 9, "A", "B", 1, 0, 4)])
+    new = make(spark, [(1, "S", "y", 1, "A", "B", 1, 0, 4), (2, "S", "x", 2, "A", "B", 2, 0, 4), (30, "S", "x", 3 * day + 1, "B", "A", 1, 0, 4), (50, "S", "x", 99 * day, "A", "B", 1, 0, 4), (5, "S", "x", 5, "A", "B", 1, 0, 2), (6, "S", "x", 6, "A", "B", 2, 1, 4), (7, "S", "x", 7, "A", "B", 0, 0, 3), (8, "S", "x", 8, "A", "D", 1, 0, 4), (9, "S", "x", 10, "A", "B", 1, 0, 4)])
+    d = {(r.series_id, r.o_series_id): r for r in B.diff_classes(old, new).collect()}
+    assert {k: r.diff_class for k, r in d.items()} == {(1, 1): "EXACT_EXISTING", (2, 2): "SCORE_CONFLICT", (30, 3): "TEAM_NAME_CONFLICT", (50, None): "NEW_SERIES", (None, 4): "UNMATCHED", (5, 5): "SCORE_CONFLICT", (6, 6): "RESULT_UPDATED", (7, 7): "STATUS_UPDATED", (8, 8): "TEAM_NAME_CONFLICT", (9, 9): "DATE_CONFLICT"}
+    assert d[1, 1].detail == "stage x -> y" and d[5, 5].detail == "completed result retracted: status 4 -> 2" and d[2, 2].detail == "score 1-0 -> 2-0"
+    assert d[30, 3].match_method == "FALLBACK_COMPETITION_DATE_TEAMPAIR" and d[50, None].match_method == ""
+    kept = {r.series_id: (r.stage, r.status, r.score_a) for r in B.refreshed(old, new).collect()}
+    assert kept == {1: ("y", 4, 1), 2: ("x", 4, 1), 3: ("x", 4, 1), 4: ("x", 4, 1), 5: ("x", 4, 1), 6: ("x", 4, 2), 7: ("x", 3, 0), 8: ("x", 4, 1), 9: ("x", 4, 1), 50: ("x", 4, 1)}
 
 
 def rows_of(results):
