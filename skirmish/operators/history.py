@@ -14,14 +14,17 @@ def prior(keys: list[str], time: str):
     return Window.partitionBy(*keys).orderBy(time).rangeBetween(Window.unboundedPreceding, -1)
 
 
-def prior_sums(df: DataFrame, keys: list[str], time: str, sums: dict[str, Column], width: int, source: DataFrame | None = None) -> DataFrame:
+def prior_sums(df: DataFrame, keys: list[str], time: str, sums: dict[str, Column], width: int | None, source: DataFrame | None = None) -> DataFrame:
     """Adds to every row the sums of ``sums`` (whole-number columns) over all rows of its keys with a smaller time.
 
     Times are cut into buckets of ``width``. A window over (keys, bucket) has the rows before it in its own bucket; what earlier
     buckets hold is joined from a table of a row per key and bucket, whose partitioning the window already has. So a key with a
-    third of all rows is spread over its buckets, and rows are shuffled once. Keys and times are not null. ``source`` has the same rows before other
+    third of all rows is spread over its buckets, and rows are shuffled once. Keys and times are not null. Without a width it is one window over
+    the keys, for keys so fine that none of them is large. ``source`` has the same rows before other
     sums were added, so that the bucket table does not compute those again.
     """
+    if width is None:
+        return df.withColumns({n: F.coalesce(F.sum(c).over(prior(keys, time)), F.lit(0)) for n, c in sums.items()})
     rows = df.withColumn("__b", F.floor(F.col(time) / width))
     inner = Window.partitionBy(*keys, "__b").orderBy(time).rangeBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy(*keys).orderBy("__b").rangeBetween(Window.unboundedPreceding, -1)
@@ -36,17 +39,19 @@ def _one(condition: Column) -> Column:
     return F.when(condition, 1).otherwise(0).cast("long")
 
 
-STATE_KEYS = {"pair": ["player", "hero"], "player": ["player"], "hero": ["hero"], "team_hero": ["team", "hero"]}
+STATE_KEYS = {"hero": ["hero"], "team_hero": ["team", "hero"], "pair": ["player", "hero"], "player": ["player"]}
+#: Heroes and players are few and may have a large share of all rows each; their pairs are many.
+COARSE = ("hero", "player")
 
 
 def player_hero_state(appearances: DataFrame) -> DataFrame:
     """Per appearance: prior games, wins and win rate (null without a decided game) of the player, the hero, the pair, and the
     hero in the team, at game level (series time, then game)."""
     a = appearances.withColumn("clock", F.col("t") * 1000 + F.col("game_number"))
-    base = a
+    base = a  # the bucket tables read the rows as they came
     for name, keys in STATE_KEYS.items():
         won = {f"{name}_games": F.lit(1).cast("long"), f"{name}_wins": _one(F.col("won")), "__decided": _one(F.col("won").isNotNull())}
-        a = prior_sums(a, keys, "clock", won, 24 * 90 * 1000, base)
+        a = prior_sums(a, keys, "clock", won, 24 * 90 * 1000 if name in COARSE else None, base)
         a = a.withColumn(f"{name}_rate", F.when(F.col("__decided") > 0, rounded(F.col(f"{name}_wins") / F.col("__decided")))).drop("__decided")
     return a.drop("clock")
 
@@ -64,7 +69,7 @@ def draft_sums(events: DataFrame) -> DataFrame:
     pick = F.col("kind") == "P"
     w, d = _one(pick & F.col("won")), _one(pick & F.col("won").isNotNull())
     out = prior_sums(events, ["hero"], "t", {"prior_picks": _one(pick), "prior_bans": _one(F.col("kind") == "B"), "w": w, "d": d}, 24 * 90)
-    return prior_sums(out, ["team", "hero"], "t", {"tg": _one(pick), "tw": w, "td": d}, 24 * 90, events)
+    return prior_sums(out, ["team", "hero"], "t", {"tg": _one(pick), "tw": w, "td": d}, None)
 
 
 def draft_state(events: DataFrame, m: float = 10.0) -> DataFrame:
