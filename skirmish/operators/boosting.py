@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import drop, stash
+from .ladders import deployable
 
 UNIT = 1e9
 #: After so many rounds rows are written anew with their scores, so that a task never applies more trees than that.
@@ -229,6 +230,7 @@ def boost(rows: DataFrame, group: str, cols: list[str], label: str, keep: list[s
     ``group`` is a whole number. Values are cut at quantiles of the group's own training rows. Nulls count as lowest. A group
     without training rows has no predictions; an empty table gives an empty result.
     """
+    deployable(cols)
     train = rows.where("train")
     cuts: dict = {}
     for r in edges(train, group, cols, bins).orderBy(group, "feature", "edge").collect():  # bins a feature and group

@@ -14,6 +14,18 @@ from ..functions.rounding import rounded
 from ..sources.store import drop, stash
 
 
+#: What marks columns that a model may not see before a series: outcomes of the series itself, and another source's winners.
+FORBIDDEN = ("oracle_", "undated_winner", "label_")
+
+
+def deployable(cols: list[str]) -> list[str]:
+    """The columns, if none of them tells what is not known before a series; else a ValueError names those that do."""
+    bad = [c for c in cols if any(mark in c for mark in FORBIDDEN)]
+    if bad:
+        raise ValueError(f"not known before a series: {', '.join(bad)}")
+    return cols
+
+
 def expand_folds(rows: DataFrame, folds: DataFrame) -> DataFrame:
     """Rows of every fold: train where the season's ordinal is below the fold's, test where it is equal. ``folds``: (fold int) ordinals."""
     small = folds.select("fold")  # a row per season
@@ -72,7 +84,7 @@ def ladder(rows: DataFrame, groups: dict[str, list[str]], label: str, strength:
     ``rows``: see ``expand_folds``. All models and folds are groups of one fit: a row enters each model with zeros for what the
     model does not have, whose weights the penalty keeps at zero. So a Newton step is one job whatever the number of models.
     """
-    cols = list(dict.fromkeys(c for own in groups.values() for c in own))
+    cols = deployable(list(dict.fromkeys(c for own in groups.values() for c in own)))
     model = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), *[(F.col(c).cast("double") if c in own else F.lit(0.0)).alias(f"f{i}") for i, c in enumerate(cols)]) for m, own in groups.items()]))
     names = [f"f{i}" for i in range(len(cols))]
     flat = rows.select("fold", "series_id", "train", F.col(label).alias("y"), model.alias("m")).select(F.concat_ws("|", "m.model", F.col("fold").cast("string")).alias("key"), "fold", "series_id", "train", "y", "m.*")

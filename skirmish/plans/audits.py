@@ -224,12 +224,15 @@ def a12(spark, sf):
 WITH r AS (SELECT rank() OVER (ORDER BY series_id) AS a, rank() OVER (ORDER BY t) + (count(*) OVER (PARTITION BY t) - 1) / 2.0 AS b, t, lag(t) OVER (ORDER BY series_id) AS before FROM series)
 SELECT round(corr(a, b), 6) AS spearman, round(avg(CAST(t > before AS INTEGER)), 6) AS rising FROM r""")
 def x15(spark, sf):
-    """Rank correlation of the rows' order with time. Ranks of time come from counts; ids are ranked in one task, as a report on one corpus."""
-    s = B.ranked(A.series(spark, sf))
-    n = F.count("*").over(Window.partitionBy("t"))
-    low = F.min("chronological").over(Window.partitionBy("t"))
-    w = Window.orderBy("series_id")
-    r = s.select(F.row_number().over(w).alias("a"), (low + (n - 1) / 2).alias("b"), (F.col("t") > F.lag("t").over(w)).cast("int").alias("up"))
+    """Rank correlation of the rows' order with time. Ranks of time come from counts; ids are ranked within cells of ids, a row per
+    cell says how many come before and which time was last."""
+    s = B.ranked(A.series(spark, sf)).withColumn("cell", F.floor(F.col("series_id") / 65_536))
+    cells, own = Window.orderBy("cell"), Window.partitionBy("cell").orderBy("series_id")  # a row per cell
+    per = s.groupBy("cell").agg(F.count("*").alias("n"), F.max_by("t", "series_id").alias("last"))
+    per = per.select("cell", F.coalesce(F.sum("n").over(cells.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"), F.lag("last").over(cells).alias("carried"))
+    n, low = F.count("*").over(Window.partitionBy("t")), F.min("chronological").over(Window.partitionBy("t"))
+    x = s.withColumn("b", low + (n - 1) / 2).withColumn("place", F.row_number().over(own)).withColumn("before", F.lag("t").over(own)).join(per, "cell")
+    r = x.select((F.col("first") + F.col("place")).alias("a"), "b", (F.col("t") > F.coalesce("before", "carried")).cast("int").alias("up"))
     return r.agg(F.round(F.corr("a", "b"), 6).alias("spearman"), F.round(F.avg("up"), 6).alias("rising"))
 
 

@@ -11,6 +11,7 @@ from skirmish.operators import boosting as T
 from skirmish.operators import calibration as K
 from skirmish.operators import history as H
 from skirmish.operators import inference as I
+from skirmish.operators import ladders as L
 from skirmish.operators import linkage as N
 from skirmish.operators import sparse as S
 from skirmish.plans import registry
@@ -87,6 +88,15 @@ def test_boosting_does_not_depend_on_partitions_and_takes_empty_tables(spark):
     assert run(df.limit(0)) == []
 
 
+def test_models_refuse_what_is_not_known_before(spark):
+    df = spark.createDataFrame([(1, 1, True, 0.0, 1)], "series_id long, fold int, train boolean, oracle_rating double, y int")
+    with pytest.raises(ValueError, match="oracle_rating"):
+        L.ladder(df, {"m": ["oracle_rating"]}, "y")
+    with pytest.raises(ValueError, match="oracle_rating"):
+        T.boost(df, "fold", ["oracle_rating"], "y", ["series_id"])
+    assert L.deployable(["rate"]) == ["rate"]
+
+
 def test_sparse_steps_equal_dense_ones(spark):
     rng = np.random.default_rng(2)
     rows = [(1, i, [int(a) for a in rng.choice(12, 3, replace=False)], [int(b) for b in rng.choice(12, 3, replace=False)], int(rng.random() < 0.6)) for i in range(60)]
