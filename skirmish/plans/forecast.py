@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import columns as C
 from ..functions.rounding import exact_mean, exact_mean_sql, rounded_sql
 from ..operators import backbone as B
 from ..operators import evaluate as E
@@ -159,32 +158,6 @@ def l01(spark, sf):
     return s.select("series_id", F.round((x - mu) / sd, 6).alias("z"))
 
 
-@query("n01_series_probability", "", """
-WITH p AS (SELECT CAST(i AS INTEGER) AS i, i / 100.0 AS p FROM range(1, 100) r(i))
-SELECT i, round(p * p * (3 - 2 * p), 6) AS bo3, round(pow(p, 3) * (1 + 3 * (1 - p) + 6 * pow(1 - p, 2)), 6) AS bo5, round(pow(p, 4) * (1 + 4 * (1 - p) + 10 * pow(1 - p, 2) + 20 * pow(1 - p, 3)), 6) AS bo7 FROM p""")
-def n01(spark, sf):
-    p = F.col("id") / 100.0
-    return spark.range(1, 100).select(F.col("id").cast("int").alias("i"), *[F.round(C.series_prob(p, n), 6).alias(f"bo{n}") for n in (3, 5, 7)])
-
-
-@query("n02_game_probability", "", "SELECT CAST(i AS INTEGER) AS i, round(i / 100.0, 6) AS p5, round(i / 100.0, 6) AS p7 FROM range(1, 100) r(i)")
-def n02(spark, sf):
-    """The inverse of the series probability, applied to it: gives back the game probability."""
-    p = F.col("id") / 100.0
-    return spark.range(1, 100).select(F.col("id").cast("int").alias("i"), *[F.round(C.game_prob(C.series_prob(p, n), n), 6).alias(f"p{n}") for n in (5, 7)])
-
-
-@query("n03_series_states", "", """
-WITH RECURSIVE s AS (SELECT 0 AS a, 0 AS b, 1.0::DOUBLE AS p UNION ALL SELECT CASE WHEN w THEN a + 1 ELSE a END, CASE WHEN w THEN b ELSE b + 1 END, p * CASE WHEN w THEN 0.6 ELSE 0.4 END FROM s, (VALUES (TRUE), (FALSE)) v(w) WHERE a < 3 AND b < 3)
-SELECT a, b, round(sum(p), 6) AS p FROM s GROUP BY 1, 2""")
-def n03(spark, sf):
-    """Chances to pass through every score of a best of five at p = 0.6, as a recursive query."""
-    return spark.sql("""
-      WITH RECURSIVE s(a, b, p) AS (SELECT 0, 0, CAST(1.0 AS DOUBLE) UNION ALL
-        SELECT a + d, b + 1 - d, p * IF(d = 1, CAST(0.6 AS DOUBLE), CAST(0.4 AS DOUBLE)) FROM s CROSS JOIN (VALUES (1), (0)) v(d) WHERE a < 3 AND b < 3)
-      SELECT a, b, round(sum(p), 6) AS p FROM s GROUP BY a, b""")
-
-
 RATINGS = [1640.0, 1600.0, 1570.0, 1540.0, 1520.0, 1500.0, 1470.0, 1430.0]
 _U = "CAST(('0x' || substr(md5(sim || '|{m}|1'), 1, 8)) AS BIGINT) / 4294967296.0"
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audits, backbone, benchmark, calibrations, checks, finals, forecast, history, ladders, learning, linkage, names, refresh, reviews, roster, rosters, sources  # noqa: F401
+from . import audits, backbone, benchmark, calibrations, checks, finals, forecast, history, ladders, learning, linkage, names, refresh, reviews, roster, rosters, series_math, sources  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
 
 

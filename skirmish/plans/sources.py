@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import columns as C
 from ..sources import adapter as A
 from ..sources import collect, scans
 from ..sources.store import shared_dir
@@ -56,12 +55,6 @@ def f02(spark, sf):
     return A.table(spark, sf, "part").select("p_partkey", F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", "p_name", "p_type")), F.lit("[a-z]{2,}"), 0))).alias("tokens"))
 
 
-@query("f17_logit_sigmoid", "", "SELECT CAST(i AS INTEGER) AS i, round(ln(p / (1 - p)), 6) AS x, round(1 / (1 + exp(-ln(p / (1 - p)))), 6) AS p FROM (SELECT i, greatest(1e-6, least(1 - 1e-6, i / 100.0)) AS p FROM range(101) r(i))")
-def f17(spark, sf):
-    x = C.logit(F.col("id") / 100.0)
-    return spark.range(101).select(F.col("id").cast("int").alias("i"), F.round(x, 6).alias("x"), F.round(C.sigmoid(x), 6).alias("p"))
-
-
 @query("f15_time_zone", "", "SELECT event_id, strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M') AS local FROM events")
 def f15(spark, sf):
     return A.table(spark, sf, "events").select("event_id", F.date_format(F.from_utc_timestamp(F.col("ts").cast("timestamp"), "Asia/Shanghai"), "yyyy-MM-dd HH:mm").alias("local"))

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from skirmish.functions import columns as C
 from skirmish.operators import backbone as B
 from skirmish.operators import evaluate as E
-from skirmish.operators import history as H
 from skirmish.operators import ratings as R
 
 SERIES = "series_id long, season string, stage string, t long, team_a string, team_b string, score_a int, score_b int, status int"
