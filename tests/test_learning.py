@@ -163,6 +163,30 @@ def test_poisson_bootstrap_is_near_the_plain_one(spark):
     assert I.POISSON[:3] == [24109, 48218, 60273] or abs(I.POISSON[0] - 24109) <= 1
 
 
+def test_cluster_bootstrap_draws_as_many_clusters_as_a_season_has(spark, monkeypatch):
+    """Hand draws: seasons of one and two clusters are in every draw, and a draw's mean is over the rows that it holds."""
+    import hashlib
+    import math
+
+    from skirmish.plans import ladders
+
+    rng = np.random.default_rng(4)
+    rows = [("A", 1, 1, 0.9), ("B", 1, 0, 0.7), ("B", 2, 1, 0.6), *[("C", int(t), int(rng.random() < 0.5), float(rng.integers(20, 80)) / 100) for t in rng.integers(0, 5, 30)]]
+    monkeypatch.setattr(ladders, "win_predictions", lambda *a: spark.createDataFrame(rows, "season string, t long, y int, p double"))
+    sums = {}
+    for season, t, y, p in rows:
+        c = sums.setdefault(season, {}).setdefault(t, [0, 0])
+        c[0] += math.floor((-math.log(p if y else 1 - p) - math.log(2)) * 1e9 + 0.5)
+        c[1] += 1
+    means = []
+    for draw in range(200):
+        got = [c[sorted(c)[int(int(hashlib.md5(f"{draw}|{s}|{i}|2".encode()).hexdigest()[:8], 16) / 2**32 * len(c))]] for s, c in sums.items() for i in range(len(c))]
+        means.append(sum(g[0] for g in got) / sum(g[1] for g in got) / 1e9)
+    r = ladders.m16(spark, "").first()
+    assert r.draws == 200
+    assert np.allclose([r["mean"], r.se, r.low, r.high], [np.mean(means), np.std(means, ddof=1), *np.quantile(means, [0.025, 0.975])], atol=2e-6)
+
+
 def test_isotonic_blocks_do_not_depend_on_ranges(spark):
     rng = np.random.default_rng(6)
     p = np.round(rng.random(500), 3)
