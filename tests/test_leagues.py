@@ -7,7 +7,8 @@ import pytest
 from skirmish.operators import brackets as K
 from skirmish.operators import ladders as L
 from skirmish.operators import leagues as G
-from skirmish.plans import finals
+from skirmish.operators import ratings as R
+from skirmish.plans import benchmark, finals, registry
 
 
 def batch(*rows):
@@ -73,3 +74,37 @@ def test_grouped_logistic_is_each_groups_own_fit(spark):
         x, y = np.array([r[1] for r in rows if r[0] == g]), np.array([r[2] for r in rows if r[0] == g])
         p = 1 / (1 + np.exp(-(got[g][0] + got[g][1] * x)))
         assert abs((p - y).sum()) < 1e-6 and abs(((p - y) * x).sum() + got[g][1]) < 1e-6
+
+
+def test_folds_do_not_depend_on_how_rows_arrive(spark):
+    """A task reads its rows batch by batch; ratings, open batches of equal time and line-ups go from one to the next."""
+    rng = np.random.default_rng(5)
+    games = [[{"game_number": j + 1, "la": sorted(rng.choice(9, 5).tolist()), "lb": sorted(rng.choice(9, 5).tolist()), "y": None if rng.random() < 0.2 else int(rng.random() < 0.6)} for j in range(3)] for _ in range(60)]
+    pdf = pd.DataFrame({"t": [i // 4 for i in range(60)], "season": [f"S{i // 20}" for i in range(60)], "series_id": range(60), "a": rng.integers(0, 4, 60), "b_team": rng.integers(4, 8, 60), "y": rng.integers(0, 2, 60), "games": games})
+    columns = "t long, season string, series_id long, a long, b_team long, y int, games array<struct<game_number:int,la:array<long>,lb:array<long>,y:int>>"
+    rows = spark.createDataFrame(pdf.to_dict("records"), columns)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        for step, fold, configs, schema in (
+            (G.player_step, G.player_fold, benchmark.PLAYER_MODELS, "name string, league string, series_id long, " + ", ".join(f"{c} double" for c in G.PLAYER_COLUMNS)), (G.game_step, G.game_fold, [*benchmark.GAME_MODELS, {"name": "G9", "k": 9.0, "half": 9.0, "rho": 0.5}], benchmark._GAME),
+        ):
+            got = G.in_order(rows, configs, step, schema).toPandas()
+            for c in configs:
+                own = got[got.name == c["name"]].reset_index(drop=True)
+                pd.testing.assert_frame_equal(own, fold(pdf, "all", c), check_dtype=False)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    flat = rows.select("series_id", "t", "season", "a", rows.b_team.alias("b"), "y")
+    whole = R.fold(pdf.rename(columns={"b_team": "b"}), 20.0, half=9.0, rho=0.5)[0]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert R.rate(flat, [{"name": "x", "k": 20, "half": 9.0, "rho": 0.5}]).toPandas().p.tolist() == whole.tolist()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_ratings_gather_no_league_in_a_group(spark, sf):
+    for name in ("r07_game_elo_g1", "r07_game_elo_g2", "r07_game_elo_g3", "r07_game_elo_g4", "r08_player_elo", "m09_benchmark"):
+        plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().toString()
+        assert "FlatMapGroupsIn" not in plan and "MapInArrow" in plan, name
