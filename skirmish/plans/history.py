@@ -142,13 +142,13 @@ def a43(spark, sf):
 SELECT d.draft, CAST(j AS INTEGER) AS j, CAST(count(*) FILTER (seq <= j AND kind = 'B' AND side = 0) AS INTEGER) AS bans_a, CAST(count(*) FILTER (seq <= j AND kind = 'B' AND side = 1) AS INTEGER) AS bans_b,
  CAST(count(*) FILTER (seq <= j AND kind = 'P' AND side = 0) AS INTEGER) AS picks_a, CAST(count(*) FILTER (seq <= j AND kind = 'P' AND side = 1) AS INTEGER) AS picks_b FROM draft_events d, range(19) r(j) GROUP BY 1, 2""")
 def w11(spark, sf):
-    return H.sequential_draft(A.draft_events(spark, sf))
+    return H.sequential_draft(A.drafts(spark, sf))
 
 
 @query("p06_draft_quality", "draft_events", """
 SELECT draft, count(*) AS n, string_agg(kind, '' ORDER BY seq) AS shape, arg_min(side, seq) FILTER (kind = 'P') AS first_pick, count(*) - count(DISTINCT hero) AS repeated, string_agg(kind, '' ORDER BY seq) = 'BBBBPPPPPPBBBBPPPP' AS standard FROM draft_events GROUP BY 1""")
 def p06(spark, sf):
-    return H.draft_quality(A.draft_events(spark, sf))
+    return H.draft_quality(A.drafts(spark, sf))
 
 
 @query("p05_draft_phase", "draft_events", "SELECT CASE WHEN seq <= 4 THEN 'BAN_1' WHEN seq <= 10 THEN 'PICK_1' WHEN seq <= 14 THEN 'BAN_2' ELSE 'PICK_2' END AS phase, kind, count(*) AS n, count(DISTINCT hero) AS heroes FROM draft_events GROUP BY 1, 2")
